@@ -20,20 +20,21 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from attestra.operators.graph import connected_components
-from attestra.runtime import materialise
+from attestra.runtime import materialise, small_batches
 
 #: Shingles that are put last; the most frequent of those in at least MIN_HEAVY documents. Bounds the broadcast (1.6 MB).
 MAX_HEAVY = 200_000
 MIN_HEAVY = 32
 #: Columns up to so many documents are multiplied as pairs of rows, longer ones in blocks of BLOCK documents.
 SHORT = 128
-BLOCK = 512
+BLOCK = 768
+#: Rows a side when only sizes and places are compared.
+LIGHT_BLOCK = 2048
 #: Ids that may be broadcast (8 MB) to pick the sets to verify; beyond it the sets are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _BYTES = 6
@@ -64,9 +65,10 @@ def pack_ids(ids: np.ndarray) -> bytes:
     return ids.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_BYTES].tobytes()
 
 
-def unpack_ids(packed: bytes) -> np.ndarray:
-    out = np.zeros((len(packed) // _BYTES, 8), np.uint8)
-    out[:, :_BYTES] = np.frombuffer(packed, np.uint8).reshape(-1, _BYTES)
+def unpack_ids(packed) -> np.ndarray:
+    raw = np.frombuffer(packed, np.uint8).reshape(-1, _BYTES)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :_BYTES] = raw
     return out.view("<u8").ravel().astype(np.int64)
 
 
@@ -91,30 +93,35 @@ def _prefix(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def _prefix_length(n: Column, percent: int) -> Column:
+    return n - F.ceil(percent * n / F.lit(100)).cast("long") + 1
+
+
 def _postings(percent: int, heavy, light_only: bool):
     """Rows (shingle, key, n, pos) of the columns that the size bounds leave; a task emits a set once as far as it can tell."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = heavy.value if heavy is not None else np.empty(0, np.int64)
         seen: set[int] = set()
         for b in batches:
             out: list[tuple[np.ndarray, ...]] = []
-            for key, n, packed in zip(b["key"], b["n"], b["ids"], strict=True):
+            for key, n, packed in zip(b.column("key").to_pylist(), b.column("n").to_pylist(), b.column("ids"), strict=True):
                 if key in seen:
                     continue
-                if len(seen) < 500_000:
+                if len(seen) < 100_000:
                     seen.add(key)
-                ids = unpack_ids(packed)
+                ids = unpack_ids(packed.as_buffer())
                 p = n - -(-2 * percent * n // (100 + percent)) + 1 if light_only else _prefix(n, percent)
                 if len(last):
                     at = np.searchsorted(last, ids)
                     hot = last[np.minimum(at, len(last) - 1)] == ids
                     ids = np.concatenate([ids[~hot], ids[hot]])
                 ids = ids[:p]
-                out.append((ids, np.full(len(ids), key), np.full(len(ids), n), np.arange(len(ids))))
+                out.append((ids, np.full(len(ids), key), np.full(len(ids), n, np.int32), np.arange(len(ids), dtype=np.int32)))
             if out:
-                s, k, n, pos = map(np.concatenate, zip(*out, strict=True))
-                yield pd.DataFrame({"shingle": s} if light_only else {"shingle": s, "key": k, "n": n, "pos": pos})
+                columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+                names = ["shingle", "key", "n", "pos"][: 1 if light_only else 4]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns[: len(names)]], names)
 
     return run
 
@@ -136,23 +143,56 @@ def _verify(percent: int):
     return run
 
 
-def overlaps(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
-    """Overlap counts of two blocks of sets: the product of their incidence matrices over the shingles that both hold."""
+def overlaps(rows: list[np.ndarray], cols: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Overlap counts of two blocks of sets: the product of their incidence matrices over the shingles that both hold.
+
+    ``width`` columns at a time are dense, so memory follows the number of sets, not the length of their texts.
+    """
     a, b = np.concatenate(rows), np.concatenate(cols)
     shared = np.intersect1d(a, b)
-    left, right = (np.zeros((len(x), len(shared)), np.float32) for x in (rows, cols))
-    for m, sets in ((left, rows), (right, cols)):
-        for i, s in enumerate(sets):
-            at = np.searchsorted(shared, s)
-            ok = at < len(shared)
-            at = at[ok][shared[at[ok]] == s[ok]]
-            m[i, at] = 1
+    sides = []
+    for flat, sets in ((a, rows), (b, cols)):
+        at = np.minimum(np.searchsorted(shared, flat), max(len(shared) - 1, 0))
+        ok = shared[at] == flat if len(shared) else np.zeros(len(flat), bool)
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[ok]
+        col = at[ok]
+        order = np.argsort(col, kind="stable")
+        sides.append((row[order], col[order]))
     out = np.zeros((len(rows), len(cols)), np.float32)
-    for c in range(0, len(shared), 8192):
-        out += left[:, c : c + 8192] @ right[:, c : c + 8192].T
+    for c in range(0, len(shared), width):
+        left, right = (np.zeros((len(x), min(width, len(shared) - c)), np.float32) for x in (rows, cols))
+        for m, (row, col) in zip((left, right), sides, strict=True):
+            lo, hi = np.searchsorted(col, (c, c + width))
+            m[row[lo:hi], col[lo:hi] - c] = 1
+        out += left @ right.T
     return np.rint(out).astype(np.int64)
 
 
+def _may_link(percent: int):
+    """Of two blocks of a column's rows, without their sets: those that the bounds let link with some row of the other side."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        first, second = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        if not len(first) or not len(second):
+            return pd.DataFrame({"shingle": [], "key": []}, dtype="int64")
+        n1, n2 = first["n"].to_numpy(np.int64)[:, None], second["n"].to_numpy(np.int64)[None, :]
+        left = np.minimum(n1 - first["pos"].to_numpy(np.int64)[:, None], n2 - second["pos"].to_numpy(np.int64)[None, :])
+        ok = linked(left, n1, n2, percent) & (first["comp"].to_numpy()[:, None] != second["comp"].to_numpy()[None, :])
+        return pd.concat([first.loc[ok.any(1), ["shingle", "key"]], second.loc[ok.any(0), ["shingle", "key"]]])
+
+    return run
+
+
+def _in_blocks(members: DataFrame, size: int) -> DataFrame:
+    """Rows of columns dealt to pairs of blocks (shingle, i, j) with about ``size`` rows a side."""
+    b = members.withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("shingle")) / size).cast("int"))
+    b = b.withColumn("at", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    b = b.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    both, one, two = F.array(F.lit(0), F.lit(1)), F.array(F.lit(0)), F.array(F.lit(1))
+    b = b.withColumn("side", F.explode(F.when(F.col("at") == F.col("other"), both).when(F.col("at") < F.col("other"), one).otherwise(two)))
+    return b.withColumns({"i": F.least("at", "other"), "j": F.greatest("at", "other")}).drop("blocks", "at", "other")
+
+
 def _block_links(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         first, second = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
@@ -212,6 +252,12 @@ def jaccard_components(
     one document a row, all in one component if their sets link, and rows without an id stay alone with a null
     component. Other columns are not read. An empty table gives no rows.
     """
+    with small_batches(docs.sparkSession):
+        return _components(docs, id_col, text_col, width, percent)
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """All Python runs before this returns; what it returns is joins of written tables."""
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, n long, key long, ids binary"
@@ -220,13 +266,13 @@ def jaccard_components(
     known = full.where("id is not null")
     reps, _ = materialise(known.groupBy("key").agg(F.min("id").alias("rep")), "reps")
 
-    counted = known.select("key", "n", "ids").mapInPandas(_postings(percent, None, True), "shingle long")
+    counted = known.select("key", "n", "ids").mapInArrow(_postings(percent, None, True), "shingle long")
     top = counted.groupBy("shingle").count().where(F.col("count") >= MIN_HEAVY)
     top = top.orderBy(F.desc("count"), "shingle").limit(MAX_HEAVY).select("shingle").toPandas()["shingle"]
     heavy = spark.sparkContext.broadcast(np.sort(top.to_numpy(dtype=np.int64)))
 
     by_shingle = Window.partitionBy("shingle")
-    posted = known.select("key", "n", "ids").mapInPandas(
+    posted = known.select("key", "n", "ids").mapInArrow(
         _postings(percent, heavy, False), "shingle long, key long, n int, pos int"
     )
     posted = (
@@ -257,38 +303,40 @@ def jaccard_components(
         {"lo": F.min("comp").over(by_shingle), "hi": F.max("comp").over(by_shingle), "long": F.count("*").over(by_shingle)}
     ).where("lo < hi")
     left, _ = materialise(left.select("shingle", "key", "n", "pos", "comp", "long"), "left")
-    short = left.where(F.col("long") <= SHORT)
+    # every shared shingle of two prefixes is in a column that holds both: what short columns show, what long ones could
+    # add and what lies behind the prefixes bounds the whole overlap
+    crowd = left.groupBy("key").agg(F.count_if(F.col("long") > SHORT).alias("crowd"))
+    short = left.where(F.col("long") <= SHORT).join(crowd, "key")
     pairs = short.alias("a").join(
         short.alias("b"),
         (F.col("a.shingle") == F.col("b.shingle"))
         & (F.col("a.key") < F.col("b.key"))
         & (F.col("a.comp") != F.col("b.comp"))
-        & _overlap_may_reach("a", "b", percent),
+        & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")),
     )
-    pairs = pairs.select(F.col("a.key").alias("src"), F.col("b.key").alias("dst")).distinct().join(tested, ["src", "dst"], "left_anti")
+    rest = lambda c: F.col(f"{c}.n") - _prefix_length(F.col(f"{c}.n"), percent)
+    spare = F.least("a.crowd", "b.crowd") + F.least(rest("a"), rest("b"))
+    pairs = pairs.select(
+        F.col("a.key").alias("src"), F.col("b.key").alias("dst"), F.col("a.n").alias("n1"), F.col("b.n").alias("n2"), spare.alias("spare"),
+        _overlap_may_reach("a", "b", percent).alias("reach"),
+    )
+    pairs = pairs.groupBy("src", "dst", "n1", "n2", "spare").agg(F.count("*").alias("met"), F.max("reach").alias("reach"))
+    pairs = pairs.where(F.col("reach") & linked(F.col("met") + F.col("spare"), F.col("n1"), F.col("n2"), percent))
+    pairs = pairs.select("src", "dst").join(tested, ["src", "dst"], "left_anti")
     pairs, _ = materialise(pairs, "pairs")
     more = []
     if pairs.head(1):
         ends = pairs.select(F.col("src").alias("key")).unionByName(pairs.select(F.col("dst").alias("key")))
         more.append(_with_sets(pairs, _sets_of(known, reps, ends)).mapInPandas(_verify(percent), "src long, dst long"))
-    wide = left.where(F.col("long") > SHORT)
-    # a member whose place leaves too small an overlap even with a set of the best size can't link through this column
-    wide = wide.where(100 * (F.col("n") - F.col("pos")) >= percent * F.col("n"))
+    wide = left.where(F.col("long") > SHORT).select("shingle", "key", "n", "pos", "comp")
+    may = _in_blocks(wide, LIGHT_BLOCK).groupBy("shingle", "i", "j").applyInPandas(_may_link(percent), "shingle long, key long")
+    wide, _ = materialise(wide.select("shingle", "key", "comp").join(may.distinct(), ["shingle", "key"], "left_semi"), "wide")
     if wide.head(1):
-        picked = _sets_of(known, reps, wide.select("key"))
-        blocks = wide.withColumn("blocks", F.ceil(F.col("long") / BLOCK).cast("int"))
-        blocks = blocks.withColumn("at", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
-        blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        both = F.array(F.lit(0), F.lit(1))
-        blocks = blocks.withColumn(
-            "side",
-            F.explode(F.when(F.col("at") == F.col("other"), both).when(F.col("at") < F.col("other"), F.array(F.lit(0))).otherwise(F.array(F.lit(1)))),
-        )
-        blocks = blocks.select("shingle", "key", "comp", "side", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"))
-        more.append(blocks.join(picked, "key").groupBy("shingle", "i", "j").applyInPandas(_block_links(percent), "src long, dst long"))
+        blocks = _in_blocks(wide, BLOCK).join(_sets_of(known, reps, wide.select("key")), "key")
+        more.append(blocks.groupBy("shingle", "i", "j").applyInPandas(_block_links(percent), "src long, dst long"))
     if more:
-        extra = more[0] if len(more) == 1 else more[0].unionByName(more[1])
-        extra, _ = materialise(extra, "extra")
+        written = [materialise(m, "extra")[0] for m in more]
+        extra = written[0] if len(written) == 1 else written[0].unionByName(written[1])
         if extra.head(1):
             found = connected_components(links.unionByName(extra))
 

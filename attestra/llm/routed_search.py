@@ -191,7 +191,7 @@ def _compare(k: int):
 
 
 def search(
-    vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 8192, parts: int = 16, recall: float = 0.97
+    vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 4096, parts: int = 16, recall: float = 0.97
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row for which ``is_query`` (over column ``id``) holds.
 
