@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values that results depend on.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "si", "feature")
@@ -18,13 +19,13 @@ def _dumps(value: str | None, **options) -> str | None:
     return None if value is None else json.dumps(json.loads(value), ensure_ascii=False, sort_keys=True, **options)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_compact(values: pd.Series) -> pd.Series:
     """JSON text as compact JSON with sorted keys; nulls inside stay."""
     return values.map(lambda v: _dumps(v, separators=(",", ":")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_pretty(values: pd.Series) -> pd.Series:
     """JSON text as indented JSON with sorted keys and a final line feed."""
     return values.map(lambda v: None if v is None else _dumps(v, indent=2) + "\n")
