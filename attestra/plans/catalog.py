@@ -206,10 +206,6 @@ l as (select *, lag(print) over (partition by conv_id order by turn) as before f
 def conversation_dedup(spark, sf_dir):
     """Turns that don't repeat the one before."""
     c = table(spark, sf_dir, "conversations").withColumn("key", F.regexp_replace("text", "[^A-Za-z0-9]+", ""))
-    return S.drop_repeats(c.where("text <> ''"), "conv_id", ["turn"], "key", cleaned=False).select("conv_id", "turn") if False else _dedup(c)
-
-
-def _dedup(c: DataFrame) -> DataFrame:
     c = c.where("text <> ''").withColumn("print", F.lower("key"))
     before = F.lag("print").over(Window.partitionBy("conv_id").orderBy("turn"))
     return c.withColumn("before", before).where((F.col("print") == "") | ~F.col("print").eqNullSafe(F.col("before"))).select("conv_id", "turn")
@@ -244,7 +240,7 @@ select user_id, sum(x)::bigint as covered from (select user_id, island, max(e) -
 def event_interval_coverage(spark, sf_dir):
     """Microseconds of each user covered by intervals from an event to the next, an hour at most."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    s = F.unix_micros("ts")
+    s = F.unix_micros(F.col("ts").cast("timestamp"))
     e = table(spark, sf_dir, "events").select("user_id", s.alias("s"), F.least(F.lead(s).over(w), s + 3600000000).alias("e"))
     return S.interval_union(e.withColumnsRenamed({"s": "begin", "e": "until"}), "user_id", "begin", "until").select("user_id", F.col("covered").cast("long").alias("covered"))
 
@@ -341,7 +337,6 @@ def graph_summary(spark, sf_dir):
 def overlink_quota(spark, sf_dir):
     """Retrieved pairs under the greedy quota of six a document, best scores first."""
     p = entry(spark, sf_dir)
-    rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("retrieval_score"), "asset_a", "asset_b")) if False else F.struct(-F.col("retrieval_score"), F.col("asset_a"), F.col("asset_b"))
     s = p.select(F.col("asset_a").cast("string").alias("source_asset_id"), F.col("asset_b").cast("string").alias("target_asset_id"), F.lit("extends").alias("relation_type"), F.format_string("%014.3f|%012d|%012d", 1e9 - F.col("retrieval_score"), "asset_a", "asset_b").alias("ord"))
     return R.quota(s).select("source_asset_id", "target_asset_id", "kept")
 

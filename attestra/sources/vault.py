@@ -17,10 +17,10 @@ ELIGIBLE = ("formal", "confirmed", "published", "active")
 
 
 def scan_files(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
-    """(path, relative_path, raw) of the files below a folder."""
+    """(path, raw, length) of the files below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     path = F.url_decode(F.regexp_replace("path", "\\+", "%2B"))
-    return files.select(path.alias("path"), F.expr(f"substring_index({'path'}, '/', -1)").alias("file"), F.col("content").alias("raw"), "length")
+    return files.select(path.alias("path"), F.col("content").alias("raw"), "length")
 
 
 def scan_vault(spark: SparkSession, root: str) -> DataFrame:
@@ -86,7 +86,7 @@ def manual_links(files: DataFrame, registry: DataFrame) -> DataFrame:
 
 def safety_scan(files: DataFrame, categories: dict[str, str], max_bytes: int = 1_000_000) -> DataFrame:
     """Distinct (path, category): patterns found in a file's text, files too large, files that aren't UTF-8."""
-    text = F.decode("raw", "UTF-8") if False else F.try_to_binary(F.hex("raw"), F.lit("hex")).cast("string")
+    text = F.col("raw").cast("string")
     bad = ~F.is_valid_utf8(text)
     found = F.array_compact(F.array(*[F.when(text.rlike(p), c) for c, p in categories.items()], F.when(F.length("raw") > max_bytes, "oversized"), F.when(bad, "not_utf8")))
     return files.select("path", F.explode(found).alias("category")).distinct()
