@@ -14,7 +14,7 @@ task; only links that join components leave it. No pair of different sets that r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from attestra.operators.graph import connected_components
-from attestra.runtime import materialise, small_batches
+from attestra.runtime import discard, materialise, small_batches
 
 #: Shingles that are put last; the most frequent of those in at least MIN_HEAVY documents. Bounds the broadcast (1.6 MB).
 MAX_HEAVY = 200_000
@@ -226,9 +226,9 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "src").join(two, "dst")
 
 
-def _sets_of(sets: DataFrame, reps: DataFrame, keys: DataFrame) -> DataFrame:
+def _sets_of(sets: DataFrame, reps: DataFrame, keys: DataFrame, write: Callable[..., DataFrame]) -> DataFrame:
     """One row (key, ids) for each wanted class: its smallest document's."""
-    wanted, _ = materialise(reps.join(keys.distinct(), "key").select("rep", "key"), "wanted")
+    wanted = write(reps.join(keys.distinct(), "key").select("rep", "key"), "wanted")
     small = wanted.count() <= BROADCAST_IDS
     want = wanted.select(F.col("rep").alias("id"), F.col("key").alias("want"))
     picked = sets.join(F.broadcast(want) if small else want, "id").where("key = want").select("key", "ids")
@@ -257,14 +257,26 @@ def jaccard_components(
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """All Python runs before this returns; what it returns is joins of written tables."""
+    """All work is done before this returns; what it returns is one written table, the tables on the way are deleted."""
     spark = docs.sparkSession
+    scratch: dict[str, str] = {}
+
+    def write(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
+        out, path = materialise(df, label, codec)
+        scratch[path] = label
+        return out
+
+    def drop(*labels: str) -> None:
+        for path in [p for p, label in scratch.items() if not labels or label in labels]:
+            discard(spark, path)
+            del scratch[path]
+
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, n long, key long, ids binary"
-    sets, _ = materialise(src.mapInArrow(_sets(width), schema), "sets", "none")
+    sets = write(src.mapInArrow(_sets(width), schema), "sets", "none")
     full = sets.where("key is not null")
     known = full.where("id is not null")
-    reps, _ = materialise(known.groupBy("key").agg(F.min("id").alias("rep")), "reps")
+    reps = write(known.groupBy("key").agg(F.min("id").alias("rep")), "reps")
 
     counted = known.select("key", "n", "ids").mapInArrow(_postings(percent, None, True), "shingle long")
     top = counted.groupBy("shingle").count().where(F.col("count") >= MIN_HEAVY)
@@ -281,7 +293,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent
         .dropDuplicates(["shingle", "key"])
         .select("shingle", "key", "n", "pos")
     )
-    columns, _ = materialise(posted, "columns")
+    columns = write(posted, "columns")
 
     hub = F.min(F.struct("pos", "key", "n")).over(by_shingle)
     met = columns.select("key", F.struct("n", "pos").alias("a"), hub.alias("b"))
@@ -290,11 +302,12 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent
         F.slice(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("a.pos", "b.key"))), lambda x: x["key"])), 1, 3).alias("hubs")
     )
     met = met.select("key", F.explode("hubs").alias("hub"))
-    tested, _ = materialise(met.select(F.least("key", "hub").alias("src"), F.greatest("key", "hub").alias("dst")).distinct(), "tested")
+    tested = write(met.select(F.least("key", "hub").alias("src"), F.greatest("key", "hub").alias("dst")).distinct(), "tested")
     ends = tested.select(F.col("src").alias("key")).unionByName(tested.select(F.col("dst").alias("key")))
-    picked, _ = materialise(_sets_of(known, reps, ends), "picked", "none")
+    picked = write(_sets_of(known, reps, ends, write), "picked", "none")
     links = _with_sets(tested, picked).mapInPandas(_verify(percent), "src long, dst long")
-    links, _ = materialise(links, "links")
+    links = write(links, "links")
+    drop("picked", "wanted")
     found = connected_components(links)
 
     left = columns.join(found.withColumnRenamed("id", "key"), "key", "left")
@@ -302,7 +315,8 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent
     left = left.withColumns(
         {"lo": F.min("comp").over(by_shingle), "hi": F.max("comp").over(by_shingle), "long": F.count("*").over(by_shingle)}
     ).where("lo < hi")
-    left, _ = materialise(left.select("shingle", "key", "n", "pos", "comp", "long"), "left")
+    left = write(left.select("shingle", "key", "n", "pos", "comp", "long"), "left")
+    drop("columns")
     # every shared shingle of two prefixes is in a column that holds both: what short columns show, what long ones could
     # add and what lies behind the prefixes bounds the whole overlap
     crowd = left.groupBy("key").agg(F.count_if(F.col("long") > SHORT).alias("crowd"))
@@ -323,19 +337,19 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent
     pairs = pairs.groupBy("src", "dst", "n1", "n2", "spare").agg(F.count("*").alias("met"), F.max("reach").alias("reach"))
     pairs = pairs.where(F.col("reach") & linked(F.col("met") + F.col("spare"), F.col("n1"), F.col("n2"), percent))
     pairs = pairs.select("src", "dst").join(tested, ["src", "dst"], "left_anti")
-    pairs, _ = materialise(pairs, "pairs")
+    pairs = write(pairs, "pairs")
     more = []
     if pairs.head(1):
         ends = pairs.select(F.col("src").alias("key")).unionByName(pairs.select(F.col("dst").alias("key")))
-        more.append(_with_sets(pairs, _sets_of(known, reps, ends)).mapInPandas(_verify(percent), "src long, dst long"))
+        more.append(_with_sets(pairs, _sets_of(known, reps, ends, write)).mapInPandas(_verify(percent), "src long, dst long"))
     wide = left.where(F.col("long") > SHORT).select("shingle", "key", "n", "pos", "comp")
     may = _in_blocks(wide, LIGHT_BLOCK).groupBy("shingle", "i", "j").applyInPandas(_may_link(percent), "shingle long, key long")
-    wide, _ = materialise(wide.select("shingle", "key", "comp").join(may.distinct(), ["shingle", "key"], "left_semi"), "wide")
+    wide = write(wide.select("shingle", "key", "comp").join(may.distinct(), ["shingle", "key"], "left_semi"), "wide")
     if wide.head(1):
-        blocks = _in_blocks(wide, BLOCK).join(_sets_of(known, reps, wide.select("key")), "key")
+        blocks = _in_blocks(wide, BLOCK).join(_sets_of(known, reps, wide.select("key"), write), "key")
         more.append(blocks.groupBy("shingle", "i", "j").applyInPandas(_block_links(percent), "src long, dst long"))
     if more:
-        written = [materialise(m, "extra")[0] for m in more]
+        written = [write(m, "extra") for m in more]
         extra = written[0] if len(written) == 1 else written[0].unionByName(written[1])
         if extra.head(1):
             found = connected_components(links.unionByName(extra))
@@ -345,4 +359,6 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent
     comps = linked_reps.join(smallest, "component").select("key", "component_id")
     out = sets.select("id", "n", "key").join(reps, "key", "left").join(comps, "key", "left")
     own = F.when(F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("component_id", "rep", "id"))
-    return out.select("id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    done, _ = materialise(out.select("id", F.col("n").alias("n_shingles"), own.alias("component_id")), "components")
+    drop()
+    return done
