@@ -12,13 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from attestra.runtime import materialise
+from attestra.runtime import discard, materialise
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 GOLDEN = 0.6180339887498949
 #: The hash prefix that splits a source's documents (4096 parts) and the slots a part of the schedule holds.
 PARTS_HEX = 3
 CHUNK = 1 << 14
+#: Sources whose cuts may be broadcast (below 8 MB but for very long names); beyond it Spark picks the join.
+BROADCAST_SOURCES = 20_000
 #: Buckets of the unit interval in which slots meet the sources' intervals.
 GRID = 256
 
@@ -109,23 +111,63 @@ def mix(
     documents of their own. An empty table gives no rows. The order within a source is that of md5 of the id, then id
     and size, so reruns agree. Other columns are not read.
     """
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    light, _ = materialise(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), key.alias("h")), "sizes", "zstd")
-    plan, _ = materialise(targets(light.groupBy("source").agg(F.sum("size").alias("source_size")), weights), "targets")
+    out, _ = _taken(docs, id_col, text_col, source_col, weights, block_words)
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
+
+
+def draw(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[int, ...] = (1, 2, 3),
+    block_words: int = 512,
+) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, to the nearest whole number; all their columns.
+
+    A mix takes the first words of a source's stream once more than the rest, so all that a source's documents need is
+    the last hash of those taken more often and both numbers: rows meet one row a source and texts are not shuffled.
+    Documents with the same id are taken alike. Null and wordless texts are never taken. No rows give no rows.
+    """
+    spark = docs.sparkSession
+    out, paths = _taken(docs, id_col, text_col, source_col, weights, block_words)
+    times = F.round(F.col("taken") / F.col("size")).cast("int")
+    cuts = out.where("size > 0").groupBy("source").agg(F.max(F.struct(times.alias("n"), "h")).alias("most"), F.min(times).alias("least"))
+    cuts, _ = materialise(cuts.select(*[F.col(c).alias(f"mixed_{c}") for c in ("source", "most", "least")]), "cuts")
+    for path in paths:
+        discard(spark, path)
+    held = F.broadcast(cuts) if cuts.count() <= BROADCAST_SOURCES else cuts
+    rows = docs.where(F.col(text_col).rlike(WORD)).join(held, docs[source_col].eqNullSafe(cuts["mixed_source"]))
+    n = F.when(_order(docs[id_col]) <= F.col("mixed_most")["h"], F.col("mixed_most")["n"]).otherwise(F.col("mixed_least"))
+    rows = rows.withColumn("mixed_times", n).where("mixed_times > 0")
+    rows = rows.withColumn("mixed_copy", F.explode(F.sequence(F.lit(1), F.col("mixed_times"))))
+    return rows.select(*[docs[c] for c in docs.columns])
+
+
+def _order(id_: Column) -> Column:
+    return F.md5(F.coalesce(id_.cast("string"), F.lit("")))
+
+
+def _taken(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], block_words: int) -> tuple[DataFrame, list[str]]:
+    """id, h, source, size, source_size, target and taken of every document, and the written tables that they need."""
+    key = _order(F.col(id_col))
+    light, light_path = materialise(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), key.alias("h")), "sizes", "zstd")
+    plan, plan_path = materialise(targets(light.groupBy("source").agg(F.sum("size").alias("source_size")), weights), "targets")
     slots = schedule(plan, block_words)
-    reads, _ = materialise(slots.groupBy("sid", "block").agg(F.collect_list("words").alias("reads")), "reads")
+    reads, reads_path = materialise(slots.groupBy("sid", "block").agg(F.collect_list("words").alias("reads")), "reads")
     named = light.join(plan.select("sid", F.col("source").alias("src"), "source_size", "target"), F.col("source").eqNullSafe(F.col("src")))
-    named = named.withColumn("part", F.substring("h", 1, PARTS_HEX)).drop("source", "src")
+    named = named.withColumn("part", F.substring("h", 1, PARTS_HEX)).drop("src")
     sums = named.groupBy("sid", "part").agg(F.sum("size").alias("n"))
     ahead = F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = Window.partitionBy("sid", "part").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = named.withColumn("upto", F.sum("size").over(inside)).join(sums.select("sid", "part", ahead.alias("ahead")), ["sid", "part"])
     placed = placed.withColumn("at", F.col("ahead") + F.col("upto") - F.col("size"))
     # a piece is what a document has in one block; its row is numbered so that a document's pieces meet again
-    placed, _ = materialise(placed.select("id", "size", "source_size", "target", "sid", "at", F.monotonically_increasing_id().alias("row")), "placed", "zstd")
+    placed, placed_path = materialise(placed.select("id", "h", "source", "size", "source_size", "target", "sid", "at", F.monotonically_increasing_id().alias("row")), "placed", "zstd")
     cut = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / block_words), F.floor((F.col("at") + F.col("size") - 1) / block_words))))
     a = F.greatest(F.col("at") - F.col("block") * block_words, F.lit(0).cast("long"))
     b = F.least(F.col("at") + F.col("size") - F.col("block") * block_words, F.lit(block_words).cast("long"))
     got = F.aggregate("reads", F.lit(0).cast("long"), lambda acc, x: acc + F.greatest(F.lit(0).cast("long"), F.least(x, b) - a))
     taken = cut.join(reads, ["sid", "block"]).groupBy("row").agg(F.sum(got).alias("taken"))
-    return placed.join(taken, "row", "left").select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    out = placed.join(taken, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+    return out.select("id", "h", "source", "size", "source_size", "target", "taken"), [light_path, plan_path, reads_path, placed_path]

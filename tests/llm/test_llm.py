@@ -101,6 +101,18 @@ def test_mix(spark):
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_draw(spark):
+    sources = ["a", "a", "b", "c", None]
+    rows = [(i, " ".join(["w"] * (i * 7 % 23)) if i % 9 else None, sources[i % 5], "e") for i in range(120)]
+    docs = spark.createDataFrame(rows, DOCS)
+    taken = {r["doc_id"]: (r["taken"] / r["size"] if r["size"] else 0) for r in mixing.mix(docs, block_words=16).collect()}
+    drawn = mixing.draw(docs, block_words=16)
+    assert drawn.columns == docs.columns
+    got = {r["doc_id"]: r["count"] for r in drawn.groupBy("doc_id").count().collect()}
+    assert {i: n for i, n in ((i, int(t + 0.5)) for i, t in taken.items()) if n} == got
+    assert mixing.draw(docs.limit(0)).count() == 0
+
+
 def test_url_paths_agree(spark):
     urls = ["http://a.com/en/1", "https://x.EXAMPLE.com/en/7?q", None, "no", "http://b.net", "http://example.net/de/8/x", "http://acom/en/"]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
