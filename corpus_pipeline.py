@@ -36,12 +36,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: the words taken by the words held, to the nearest whole number."""
-    mixed = mixing.mix(docs).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    times = F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
-    plan, _ = materialise(mixed.select(F.col("doc_id").alias("mixed_id"), times.alias("mixed_times")).where("mixed_times > 0"), "times")
-    rows = docs.join(plan, docs["doc_id"].eqNullSafe(plan["mixed_id"]))
-    rows = rows.withColumn("mixed_copy", F.explode(F.sequence(F.lit(1), F.col("mixed_times"))))
-    return rows.select(*docs.columns)
+    return mixing.draw(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
