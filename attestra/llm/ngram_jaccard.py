@@ -146,25 +146,29 @@ def _verify(percent: int):
 def overlaps(rows: list[np.ndarray], cols: list[np.ndarray], width: int = 4096) -> np.ndarray:
     """Overlap counts of two blocks of sets: the product of their incidence matrices over the shingles that both hold.
 
-    ``width`` columns at a time are dense, so memory follows the number of sets, not the length of their texts.
+    ``width`` columns at a time are dense, and sets are looked up one by one as sorted places, so that little is held
+    beside the sets themselves.
     """
-    a, b = np.concatenate(rows), np.concatenate(cols)
-    shared = np.intersect1d(a, b)
+    shared = np.intersect1d(np.unique(np.concatenate(rows)), np.unique(np.concatenate(cols)), assume_unique=True)
+    if not len(shared):
+        return np.zeros((len(rows), len(cols)), np.int64)
     sides = []
-    for flat, sets in ((a, rows), (b, cols)):
-        at = np.minimum(np.searchsorted(shared, flat), max(len(shared) - 1, 0))
-        ok = shared[at] == flat if len(shared) else np.zeros(len(flat), bool)
-        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[ok]
-        col = at[ok]
-        order = np.argsort(col, kind="stable")
-        sides.append((row[order], col[order]))
+    for sets in (rows, cols):
+        held = []
+        for ids in sets:
+            at = np.minimum(np.searchsorted(shared, ids), len(shared) - 1)
+            held.append(at[shared[at] == ids].astype(np.int32))
+        sides.append(held)
     out = np.zeros((len(rows), len(cols)), np.float32)
     for c in range(0, len(shared), width):
-        left, right = (np.zeros((len(x), min(width, len(shared) - c)), np.float32) for x in (rows, cols))
-        for m, (row, col) in zip((left, right), sides, strict=True):
-            lo, hi = np.searchsorted(col, (c, c + width))
-            m[row[lo:hi], col[lo:hi] - c] = 1
-        out += left @ right.T
+        dense = []
+        for held in sides:
+            m = np.zeros((len(held), min(width, len(shared) - c)), np.float32)
+            for k, at in enumerate(held):
+                lo, hi = np.searchsorted(at, (c, c + width))
+                m[k, at[lo:hi] - c] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
     return np.rint(out).astype(np.int64)
 
 
