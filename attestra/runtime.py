@@ -15,6 +15,7 @@ def session(app: str = "attestra", cores: str = "*", partitions: int = 8) -> Spa
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
+        .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
