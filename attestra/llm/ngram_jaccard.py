@@ -322,7 +322,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent
     left = write(left.select("shingle", "key", "n", "pos", "comp", "long"), "left")
     drop("columns")
     # every shared shingle of two prefixes is in a column that holds both: what short columns show, what long ones could
-    # add and what lies behind the prefixes bounds the whole overlap
+    # add and what lies behind the prefix that ends first, of whichever of the two, bounds the whole overlap
     crowd = left.groupBy("key").agg(F.count_if(F.col("long") > SHORT).alias("crowd"))
     short = left.where(F.col("long") <= SHORT).join(crowd, "key")
     pairs = short.alias("a").join(
@@ -333,7 +333,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent
         & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")),
     )
     rest = lambda c: F.col(f"{c}.n") - _prefix_length(F.col(f"{c}.n"), percent)
-    spare = F.least("a.crowd", "b.crowd") + F.least(rest("a"), rest("b"))
+    spare = F.least("a.crowd", "b.crowd") + F.greatest(rest("a"), rest("b"))
     pairs = pairs.select(
         F.col("a.key").alias("src"), F.col("b.key").alias("dst"), F.col("a.n").alias("n1"), F.col("b.n").alias("n2"), spare.alias("spare"),
         _overlap_may_reach("a", "b", percent).alias("reach"),

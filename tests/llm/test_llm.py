@@ -42,6 +42,27 @@ def test_jaccard_against_brute_force(spark, monkeypatch):
     assert ngram_jaccard.jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_jaccard_of_cut_and_quoted_texts(spark):
+    """Texts and their cut or extended forms, while quotes of one shingle each are the hubs of their columns."""
+    rng = random.Random(11)
+    texts = []
+    for f in range(12):
+        w = [f"f{f}w{i}" for i in range(104)]
+        texts += [w, w[:86], w[16:], w + [f"f{f}x{i}" for i in range(22)]] + [w[i : i + 5] for i in range(100)]
+    rng.shuffle(texts)
+    s = [sets(" ".join(w), 5) for w in texts]
+    link = list(range(len(s)))
+    top = lambda v: v if link[v] == v else top(link[v])
+    for a in range(len(s)):
+        for b in range(a + 1, len(s)):
+            if 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b]):
+                x, y = sorted((top(a), top(b)))
+                link[y] = x
+    docs = spark.createDataFrame([(i, " ".join(w), "s", "e") for i, w in enumerate(texts)], DOCS)
+    got = {r["id"]: r["component_id"] for r in ngram_jaccard.jaccard_components(docs).collect()}
+    assert got == {i: top(i) for i in range(len(s))}
+
+
 def test_near_vectors_against_brute_force(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 16)).astype(np.float32)
