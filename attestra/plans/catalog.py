@@ -305,7 +305,7 @@ _EDGES = "e as (select distinct l_partkey as p, 1000000 + l_suppkey as s from li
 
 @query(f"with {_EDGES}, d as (select p as node from e union all select s from e) select node, count(*)::bigint as degree from d group by 1")
 def endpoint_degree(spark, sf_dir):
-    """Degrees in the graph of parts and suppliers."""
+    """Degrees in the graph of parts and suppliers of line items of quantity 1; endpoint_degree_all has the whole graph."""
     return _edges(spark, sf_dir).select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
 
 
@@ -318,10 +318,28 @@ def _edges(spark, sf_dir) -> DataFrame:
 reach(id, other) as (select id, id from n union select r.id, l.b from reach r join l on r.other = l.a), c as (select id, min(other) as component from reach group by 1)
 select component, count(*)::bigint as size from c group by 1""")
 def components(spark, sf_dir):
-    """Connected components of that graph, by size."""
+    """Connected components of that graph of quantity 1, by size; components_all has the whole graph."""
     return connected_components(_edges(spark, sf_dir)).groupBy("component").agg(F.count("*").alias("size"))
 
 
+def _all_edges(spark, sf_dir) -> DataFrame:
+    """Every part and supplier that a line item joins; suppliers are negative, so that they are no part's id at any size."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (-1 - F.col("l_suppkey")).alias("dst")).distinct()
+
+
+@query("""with e as (select distinct l_partkey as p, -1 - l_suppkey as s from lineitem), d as (select p as node from e union all select s from e)
+select node, count(*)::bigint as degree from d group by 1""")
+def endpoint_degree_all(spark, sf_dir):
+    """Degrees in the whole graph of parts and suppliers."""
+    return _all_edges(spark, sf_dir).select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+
+
+@query()
+def components_all(spark, sf_dir):
+    """Connected components of the whole graph, by size; a recursive SQL is too slow there."""
+    return connected_components(_all_edges(spark, sf_dir)).groupBy("component").agg(F.count("*").alias("size"))
+
+
 @query("""with s as (select distinct c_custkey as id from customer), e as (select distinct o_custkey as a, (o_custkey * 7 + 1) % 1500 as b, 1 as k from orders where o_orderstatus = 'F'),
 x as (select a, b from e where a in (select id from s) and b in (select id from s)), p as (select distinct least(a, b) as a, greatest(a, b) as b from x where a <> b),
 d as (select id, count(p.a) as n from s left join p on id in (p.a, p.b) group by 1)

@@ -35,6 +35,21 @@ def test_components(spark):
     assert connected_components(edges.limit(0)).count() == 0
 
 
+def test_whole_graph(spark, tmp_path):
+    rows = [(p, s, float(q)) for p, s, q in [(1, 1, 1), (1, 1, 2), (2, 1, 7), (3, 2, 50), (4, 2, 3), (4, 3, 1), (5, 4, 9), (1, 5, 30)]]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    edges = {(p, -1 - s) for p, s, _ in rows}
+    link = {v: v for e in edges for v in e}
+    for _ in link:
+        for a, b in edges:
+            link[a] = link[b] = min(link[a], link[b])
+    size = {c: list(link.values()).count(c) for c in link.values()}
+    degree = {v: sum(v in e for e in edges) for v in link}
+    got = entry.queries()
+    assert {r["node"]: r["degree"] for r in got["endpoint_degree_all"](spark, str(tmp_path)).collect()} == degree
+    assert {r["component"]: r["size"] for r in got["components_all"](spark, str(tmp_path)).collect()} == size
+
+
 def test_clean_and_language(spark):
     assert one(spark, T.clean(F.col("t")), t="hello   world") == "hello world."
     assert one(spark, T.clean(F.col("t")), t="今天天气很好所以出门") == "今天天气很好。所以出门。"
