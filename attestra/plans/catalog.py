@@ -108,8 +108,14 @@ r as (select *, row_number() over (partition by doc_id order by n desc, first) a
 
 @query(f"with {_TERMS} select term, count(distinct doc_id)::bigint as df from r where rank <= 220 group by term having count(distinct doc_id) >= 20")
 def term_document_frequency(spark, sf_dir):
-    """In how many documents a term is among the 220 most frequent; those of 20 or more."""
-    return R.document_frequency(R.top_terms(table(spark, sf_dir, "documents"), "doc_id", "text")).where("df >= 20")
+    """In how many documents a term is among the 220 most frequent; those of 20 or more. term_document_frequency_all has all."""
+    return term_document_frequency_all(spark, sf_dir).where("df >= 20")
+
+
+@query(f"with {_TERMS} select term, count(distinct doc_id)::bigint as df from r where rank <= 220 group by term")
+def term_document_frequency_all(spark, sf_dir):
+    """In how many documents a term is among the 220 most frequent, for every term."""
+    return R.document_frequency(R.top_terms(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
 @query(f"with {_TERMS} select doc_id, term, n::bigint as n, rank::bigint as rank from r where rank <= 5")

@@ -50,6 +50,13 @@ def test_whole_graph(spark, tmp_path):
     assert {r["component"]: r["size"] for r in got["components_all"](spark, str(tmp_path)).collect()} == size
 
 
+def test_all_document_frequencies(spark, tmp_path):
+    rows = [(i, "shared " + f"word{i} word{i}") for i in range(25)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["term"]: r["df"] for r in entry.queries()["term_document_frequency_all"](spark, str(tmp_path)).collect()}
+    assert got == {"shared": 25} | {f"word{i}": 1 for i in range(25)}
+
+
 def test_clean_and_language(spark):
     assert one(spark, T.clean(F.col("t")), t="hello   world") == "hello world."
     assert one(spark, T.clean(F.col("t")), t="今天天气很好所以出门") == "今天天气很好。所以出门。"
