@@ -25,13 +25,20 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that five-word shingles link at 0.8, the one with the smallest id."""
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1):
+        return _drop_copied_rows(docs)
     groups = ngram_jaccard.jaccard_components(docs, width=5, percent=80)
-    drop, _ = materialise(groups.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("doc_id")).distinct(), "drop")
-    kept = docs.join(drop, "doc_id", "left_anti")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1)
-    if not repeated:
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    drop, _ = materialise(groups.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("doc_id")), "drop")
+    return docs.join(drop, "doc_id", "left_anti")
+
+
+def _drop_copied_rows(docs: DataFrame) -> DataFrame:
+    """The same where ids repeat: rows are numbered in the order of ids and decided by number, rows without an id stay."""
+    known = docs.where("doc_id is not null").dropDuplicates(docs.columns).orderBy("doc_id", F.xxhash64("text"))
+    rows, _ = materialise(known.withColumn("row_id", F.monotonically_increasing_id()), "rows")
+    groups = ngram_jaccard.jaccard_components(rows, id_col="row_id", width=5, percent=80)
+    drop, _ = materialise(groups.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("row_id")), "drop")
+    return rows.join(drop, "row_id", "left_anti").select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
