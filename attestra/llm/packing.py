@@ -25,9 +25,9 @@ _PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id lo
 _DIGESTS = _PIECES.replace("ids binary", "ids_crc32 long")
 
 
-def _tokenise(path: str, end: int):
+def _tokenise(path: str, end: int, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, at = encoder(path), TaskContext.get().partitionId(), 0
+        encode, part, at = encoder(path, added), TaskContext.get().partitionId(), 0
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 rows = b.slice(lo, 500)
@@ -87,17 +87,19 @@ def pack(
     vocabulary: str | None = None,
     end: int = 0,
     digest: bool = False,
+    added: bool = False,
 ) -> DataFrame:
     """One row a piece: ``doc_id``, ``start``, ``length``, ``doc_tokens``, ``sequence_id``, ``offset`` and ``ids``.
 
     ``ids`` is the piece's ids as little-endian unsigned 32-bit integers; with ``digest`` it is ``ids_crc32`` instead.
+    With ``added`` a text's literal added tokens give their own ids, as by default in the vocabulary file's tokenizer.
     The documents keep the order in which the table's partitions hold them. Null and empty texts give the end id alone;
     rows that repeat are packed as often as they come; a null id stays null. Only the last sequence can be short, so
     padding is below one window. An empty table gives no rows.
     """
     path = vocabulary or default_vocabulary()
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    stored, _ = materialise(src.mapInArrow(_tokenise(path, end), _TOKENS), "tokens", "zstd")
+    stored, _ = materialise(src.mapInArrow(_tokenise(path, end, added), _TOKENS), "tokens", "zstd")
     totals = stored.groupBy("part").agg(F.sum("n").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))

@@ -59,7 +59,7 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens, pieces as digests."""
-    return packing.pack(table(spark, sf_dir, "documents"), window=1024, digest=True)
+    return packing.pack(table(spark, sf_dir, "documents"), window=1024, digest=True, added=True)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,8 +24,11 @@ _SPACES = re.compile(r"\s\s")
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str):
-    """text -> ids as the vocabulary file's own tokenizer gives them, without special tokens.
+def encoder(path: str, added: bool = False):
+    """text -> ids as the vocabulary file's own tokenizer gives them; none is put around a text.
+
+    Where a text holds an added token literally it is taken for ordinary text, or, with ``added``, gives the token's id
+    as the file's tokenizer does by default.
 
     The vocabulary is read from the tokenizers file and run by a faster engine. The pattern's look-ahead only matters
     where white space runs, so texts without such runs take the pattern without it.
@@ -46,7 +49,20 @@ def encoder(path: str):
     def encode(text: str) -> list[int]:
         return (whole if _SPACES.search(text) else plain).encode_ordinary(text)
 
-    return encode
+    if not added:
+        return encode
+    named = {t["content"]: t["id"] for t in model["added_tokens"]}
+    cut = re.compile("(" + "|".join(map(re.escape, sorted(named, key=len, reverse=True))) + ")") if named else None
+
+    def encode_added(text: str) -> list[int]:
+        if cut is None or not cut.search(text):
+            return encode(text)
+        ids = []
+        for i, piece in enumerate(cut.split(text)):  # every second piece is an added token
+            ids += [named[piece]] if i % 2 else encode(piece)
+        return ids
+
+    return encode_added
 
 
 def ids_of(encode, text: str | None, end: int) -> np.ndarray:

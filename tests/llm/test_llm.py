@@ -120,6 +120,24 @@ def test_pack_round_trip(spark):
     assert sorted(p["ids_crc32"] for p in digest) == sorted(zlib.crc32(bytes(p["ids"])) for p in pieces)
 
 
+def test_query_packs_as_the_default_tokenizer(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from attestra.llm import queries
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    e = "<|endoftext|>"
+    texts = [e, f"a {e}", f"a  {e}  b", f"{e}{e}\n\n x", f"<|endof{e}text|> é", "<|endoftext| >", "plain  text \n", None, ""]
+    docs = spark.createDataFrame([(i, x, "s", "e") for i, x in enumerate(texts)], DOCS)
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    ids = {i: [*t.encode(x or "", add_special_tokens=False).ids, 0] for i, x in enumerate(texts)}
+    want = {i: (len(v), zlib.crc32(np.array(v, "<u4").tobytes())) for i, v in ids.items()}
+    for pieces in (queries.op7_pack(spark, str(tmp_path)), corpus_pipeline.pack_sequences(spark, docs, "")):
+        assert {r["doc_id"]: (r["doc_tokens"], r["ids_crc32"]) for r in pieces.collect()} == want
+
+
 def test_mix(spark):
     rows = [(i, "w " * (i % 7), ["a", "b", None][min(i % 5, 2)], "") for i in range(400)] + [(5, None, "a", "")]
     got = mixing.mix(spark.createDataFrame(rows, DOCS), block_words=16).collect()
