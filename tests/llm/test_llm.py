@@ -101,6 +101,25 @@ def test_routed_search_recall(spark):
     assert len(got) == 300 and right >= 270
 
 
+def test_routed_search_recall_beyond_the_sample(spark):
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(60, 16))[rng.integers(0, 60, 9000)] + rng.normal(scale=0.5, size=(9000, 16))).astype(np.float32)
+    x[rng.permutation(9000)[:3000]] = x[7]  # a third of the rows are copies
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = routed_search.search(df, F.col("id") % 50 == 0, sample_rows=1500).collect()
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    right = total = 0
+    for q in range(0, 9000, 50):
+        s = y @ y[q]
+        s[q] = -9
+        if (x[q] == x[7]).all():
+            continue  # its nearest are copies of itself
+        least = np.sort(s)[-5] - 1e-9
+        right += sum(r["score"] >= least for r in got if r["query_id"] == q)
+        total += 5
+    assert len(got) == 900 and total > 500 and right >= 0.9 * total
+
+
 def test_pack_round_trip(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
