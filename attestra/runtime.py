@@ -31,8 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where the setting is absent (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_root()).rstrip("/")
+    """The shared folder of the cluster, spark.checkpoint.dir; a temporary one only for a local session without the setting."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (shared or _own_root()).rstrip("/")
 
 
 @cache
@@ -64,11 +67,22 @@ def materialise(df: DataFrame, label: str, codec: str = "snappy") -> tuple[DataF
 
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000):
-    """Arrow batches of at most ``rows`` rows for the jobs that run inside, so that long texts don't fill a worker."""
+    """Arrow batches of at most ``rows`` rows for the jobs that run inside, so that long values don't fill a worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     old = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    spark.conf.set(key, str(min(rows, int(old)) if int(old) > 0 else rows))
     try:
         yield
     finally:
         spark.conf.set(key, old)
+
+
+def bound_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Lower the session's Arrow batches to ``rows`` rows, for good: for operators whose result runs Python when it is read.
+
+    The setting holds when a plan is made, which for a lazy result is after the operator has returned.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
