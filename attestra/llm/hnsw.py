@@ -14,19 +14,30 @@ def _levels(n: int, degree: int, seed: int) -> np.ndarray:
 
 
 class Graph:
-    """Unit vectors ``x`` (float32) with layers of neighbour lists; layer 0 holds all, each higher one fewer nodes."""
+    """Unit vectors ``x`` (float32), highest level first, and each layer's neighbour lists; a layer holds the first rows of ``x``."""
 
-    def __init__(self, x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        self.x, self.layers = x, layers  # a layer: its nodes, ascending, and their neighbours as places in it, -1 filled
+    def __init__(self, x: np.ndarray, layers: list[np.ndarray]) -> None:
+        self.x, self.layers = x, layers  # a layer: neighbours as rows of x, -1 filled; layer 0 holds all, each higher one fewer
 
     @staticmethod
-    def build(x: np.ndarray, degree: int = 16, ef: int = 48, seed: int = 11) -> Graph:
+    def build(x: np.ndarray, degree: int = 16, ef: int = 48, seed: int = 11) -> tuple[Graph, np.ndarray]:
+        """The graph and, for each of its rows, the row of ``x`` that it is."""
         level = _levels(len(x), degree, seed)
-        layers = []
-        for k in range(int(level.max(initial=0)) + 1):
-            nodes = np.flatnonzero(level >= k)
-            layers.append((nodes, _layer(x[nodes], 2 * degree if k == 0 else degree, ef)))
-        return Graph(x, layers)
+        order = np.argsort(-level, kind="stable")
+        x = x[order]
+        layers: list[np.ndarray] = []
+        for k in range(int(level.max(initial=0)), -1, -1):  # from the top, as a layer's inserts enter from the one above
+            above = Graph(x, layers) if layers else None
+            n = int((level >= k).sum())
+            layers = [_layer(x[:n], 2 * degree if k == 0 else degree, ef, above), *layers]
+        return Graph(x, layers), order
+
+    def descend(self, q: np.ndarray, to: int, ef: int = 4) -> np.ndarray:
+        """The best ``ef`` nodes found to each query in layer ``to``, entering at the top; -1 filled."""
+        found = np.zeros((len(q), 1), np.int64)
+        for near in self.layers[: to - 1 if to else None : -1]:
+            found, _ = beam(self.x[: len(near)], near, q, found[:, :1], min(ef, len(near)))
+        return found
 
     def search(self, q: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
         """(nodes, similarities), -1 filled and best first, of the ``ef`` nearest found to each row of ``q``."""
@@ -35,14 +46,8 @@ class Graph:
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
     def _search(self, q: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
-        nodes, near = self.layers[-1]
-        entry = np.zeros((len(q), 1), np.int64)
-        for k in range(len(self.layers) - 1, 0, -1):
-            nodes, near = self.layers[k]
-            found, _ = beam(self.x[nodes], near, q, entry, 4)
-            entry = np.searchsorted(self.layers[k - 1][0], nodes[found[:, :1]])
-        found, sims = beam(self.x[self.layers[0][0]], self.layers[0][1], q, entry, ef)
-        return found, sims
+        entry = self.descend(q, 1)[:, :1] if len(self.layers) > 1 else np.zeros((len(q), 1), np.int64)
+        return beam(self.x, self.layers[0], q, entry, ef)
 
 
 def beam(x: np.ndarray, near: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int, wide: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -88,8 +93,9 @@ def beam(x: np.ndarray, near: np.ndarray, q: np.ndarray, entry: np.ndarray, ef:
     return ids, sims
 
 
-def _layer(x: np.ndarray, degree: int, ef: int) -> np.ndarray:
-    """Neighbour lists of one layer: vectors enter in growing batches, search what is there, link both ways and prune."""
+def _layer(x: np.ndarray, degree: int, ef: int, above: Graph | None) -> np.ndarray:
+    """Neighbour lists of one layer: vectors enter in growing batches from the nodes that the layers above lead to, search
+    what is there, link both ways and prune."""
     n = len(x)
     near = np.full((n, degree), -1, np.int64)
     done = min(n, 256)
@@ -97,16 +103,15 @@ def _layer(x: np.ndarray, degree: int, ef: int) -> np.ndarray:
         _link(x, near, np.arange(done), _nearest(x[:done], x[:done], degree, True))
     while done < n:
         batch = np.arange(done, min(n, done + max(256, done // 2), done + 2048))
-        entry = np.random.default_rng(done).integers(0, done, (len(batch), min(4, done)))
-        entry = np.sort(entry, 1)
-        dup = np.zeros_like(entry, bool)
-        dup[:, 1:] = entry[:, 1:] == entry[:, :-1]
-        entry[dup] = entry[:, :1].repeat(entry.shape[1], 1)[dup]
         found = np.full((len(batch), max(ef, degree)), -1, np.int64)
         step = max(1, _VISITED // done)
         for i in range(0, len(batch), step):
-            got, _ = beam(x[:done], near[:done], x[batch[i : i + step]], entry[i : i + step, :1], max(ef, degree))
-            found[i : i + step] = got
+            q = x[batch[i : i + step]]
+            led = above.descend(q, 0) if above else np.zeros((len(q), 1), np.int64)
+            # the first place led to whose node has entered; the first node otherwise
+            ok = (led >= 0) & (led < done)
+            entry = np.where(ok.any(1), led[np.arange(len(q)), ok.argmax(1)], 0)[:, None]
+            found[i : i + step], _ = beam(x[:done], near[:done], q, entry, max(ef, degree))
         own = _nearest(x[batch], x[batch], degree // 2, True)
         own = np.where(own >= 0, own + done, -1)
         _link(x, near, batch, np.concatenate([found, own], 1))

@@ -1,45 +1,59 @@
 """Embedding near-dedup over sharded HNSW graphs.
 
-Equal vectors are one class. Classes are dealt to shards by a hash; each shard gets a graph, and blocks of classes
-query every shard. A beam widens for the queries that fill it with links, and for a whole block until an audit against
-brute force on a sample of it finds the wanted share of links. Pairs count by cosine in double precision on the
-original vectors. A task sends only links that join components; components are united across tasks. Within each
-component, where alone links can be, an exact blocked product then counts every vector's links.
+Equal vectors are one class. Classes are dealt to shards by a hash and each shard gets a graph. An audit searches a
+sample of classes in every shard and by brute force, and doubles the beam until the wanted share of the sample's true
+links is found; the sample itself grows until it holds a stated number of them. Then all classes, in blocks, query
+every shard: a task loads a graph once and blocks stream past it. A beam that holds links alone is widened. What is
+found counts by cosine in double precision on the original vectors; a task sends each query's number of links and only
+those links that join components, which are united across tasks.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm.hnsw import Graph
-from attestra.llm.vectors import cosines, matrix, pick, unit, valid
+from attestra.llm.vectors import cosines, kind_of, matrix, pick, typed, unit, valid
 from attestra.operators.graph import connected_components
-from attestra.runtime import materialise
+from attestra.runtime import discard, materialise, small_batches
 
-#: Shards of a small table, and the classes that a shard holds at most, on average (64 floats: 51 MB).
-MIN_SHARDS = 6
-SHARD_ROWS = 200_000
-QUERY_BLOCK = 4096
-PRODUCT_BLOCK = 1024
+#: Shards at least, and the bytes of a shard's vectors and neighbour lists on average.
+MIN_SHARDS = 4
+SHARD_BYTES = 64 << 20
+#: Classes of a query block, blocks that one load of a graph serves at most, and tasks to aim at where there is less.
+QUERY_BLOCK = 2048
+CHUNK_BLOCKS = 256
+TASKS = 64
+#: Classes audited at first and at most, and the true links that an audit must see unless it holds all it may.
+AUDIT_ROWS, AUDIT_MOST, AUDIT_LINKS = 512, 8192, 100
 #: Single precision may be off by so much; candidates down to it are verified in double precision.
 SLACK = 1e-4
+#: A class of more copies than this share of all rows gets its result by a broadcast, so there are at most 1000 of them.
+HOT_SHARE = 0.001
 
 
-def _graphs(pdf: pd.DataFrame) -> pd.DataFrame:
-    import pickle
+def _graphs(kind: str):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        x = matrix(pdf["v"])
+        g, order = Graph.build(unit(x).astype(np.float32))
+        small = [near.astype(np.int32) for near in g.layers]
+        blob = pickle.dumps((pdf["id"].to_numpy()[order], pdf["copies"].to_numpy()[order], x[order].astype(kind), small))
+        return pd.DataFrame({"dim": [int(pdf["dim"].iloc[0])], "shard": [int(pdf["shard"].iloc[0])], "graph": [blob]})
+
+    return run
+
 
-    pdf = pdf.sort_values("id")
-    x = matrix(pdf["v"])
-    g = Graph.build(unit(x).astype(np.float32))
-    small = [(n.astype(np.int32), k.astype(np.int32)) for n, k in g.layers]
-    blob = pickle.dumps((pdf["id"].to_numpy(), x.astype(np.float32), small))
-    return pd.DataFrame({"dim": [int(pdf["dim"].iloc[0])], "shard": [int(pdf["shard"].iloc[0])], "graph": [blob]})
+def _load(blob: bytes) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
+    """The graph, ids, copies and original vectors of its nodes."""
+    ids, copies, x, layers = pickle.loads(blob)
+    return Graph(unit(x.astype(np.float64)).astype(np.float32), [near.astype(np.int64) for near in layers]), ids, copies, x
 
 
 def _union(src: np.ndarray, dst: np.ndarray) -> list[tuple[int, int]]:
@@ -60,98 +74,135 @@ def _union(src: np.ndarray, dst: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def links_of(graph: Graph, q: np.ndarray, least: float, ef: int, recall: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) with similarity at least ``least`` as far as found; beams widen until the audit passes."""
-    n, size = len(graph.x), len(q)
-    rng = np.random.default_rng(seed)
-    audit = rng.choice(size, min(size, 64), replace=False)
-    truth = q[audit] @ graph.x.T >= least
-    while True:
-        width = min(ef, n)
-        ids, sims = graph.search(q, width)
+def links_of(graph: Graph, q: np.ndarray, least: float, ef: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) with similarity at least ``least`` as far as found; a beam of links alone is widened until it isn't."""
+    rows, width, a, b = np.arange(len(q)), min(ef, len(graph.x)), [], []
+    while len(rows):
+        ids, sims = graph.search(q[rows], width)
         hit = sims >= least
-        rows, cols = np.nonzero(hit)
-        a, b = rows, ids[rows, cols]
-        full = np.flatnonzero(hit.all(1)) if width < n else np.empty(0, np.int64)
-        wider = width
-        while len(full):  # a beam of links alone may have missed others
-            wider = min(4 * wider, n)
-            i2, s2 = graph.search(q[full], wider)
-            r2, c2 = np.nonzero(s2 >= least)
-            keep = ~np.isin(a, full)
-            a, b = np.concatenate([a[keep], full[r2]]), np.concatenate([b[keep], i2[r2, c2]])
-            full = full[(s2 >= least).all(1)] if wider < n else full[:0]
-        found = np.zeros(truth.shape, bool)
-        where = np.full(size, -1)
-        where[audit] = np.arange(len(audit))
-        mine = where[a] >= 0
-        found[where[a[mine]], b[mine]] = True
-        if truth.sum() == 0 or (found & truth).sum() >= recall * truth.sum() or width >= n:
-            return a, b
-        ef *= 2
-
-
-def _search(threshold: float, ef: int, recall: float):
-    import pickle
+        full = hit.all(1) if width < len(graph.x) else np.zeros(len(rows), bool)
+        r, c = np.nonzero(hit & ~full[:, None])
+        a.append(rows[r])
+        b.append(ids[r, c])
+        rows, width = rows[full], min(4 * width, len(graph.x))
+    empty = np.empty(0, np.int64)
+    return np.concatenate([empty, *a]), np.concatenate([empty, *b])
+
+
+def _true_links(graph: Graph, q: np.ndarray, least: float) -> np.ndarray:
+    """Keys query * nodes + node of all pairs of a block, by brute force."""
+    out = [np.empty(0, np.int64)]
+    for i in range(0, len(q), 256):
+        r, c = np.nonzero(q[i : i + 256] @ graph.x.T >= least)
+        out.append((r + i) * len(graph.x) + c)
+    return np.concatenate(out)
+
+
+def _audit(sample, least: float, ef: int):
+    """(ef, links, found) of a shard for a doubling series of beams; a vector's match with itself doesn't count."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for blob, dim in zip(pdf["graph"], pdf["dim"], strict=True):
+                graph, ids, _, _ = _load(blob)
+                qids, q = sample.value.get(int(dim), (np.empty(0, np.int64), np.empty((0, int(dim)), np.float32)))
+                n = len(graph.x)
+                other = lambda keys: keys[qids[keys // n] != ids[keys % n]]  # noqa: B023, E731
+                truth, out, width, found = other(_true_links(graph, q, least)), [], ef, -1
+                for _ in range(12):
+                    if found < len(truth):  # a beam that found all is not tried wider
+                        a, b = links_of(graph, q, least, width)
+                        found = int(np.isin(truth, a * n + b).sum())
+                    out.append((width, len(truth), found))
+                    width *= 2
+                yield pd.DataFrame(out, columns=["ef", "links", "found"]).astype("int64")
+
+    return run
+
+
+def choose_beam(classes: DataFrame, graphs: DataFrame, n: int, threshold: float, ef: int, recall: float) -> tuple[int, int, float]:
+    """The least beam of ef, 2 ef, 4 ef ... that finds ``recall`` of the sample's true links; those links; the recall.
+
+    The sample are the classes with the smallest hashes, AUDIT_MOST at most, whatever the table's size; the driver
+    holds it and it is broadcast. Without any true link the smallest beam is taken and the recall is 1.
+    """
+    spark = classes.sparkSession
+    rows = AUDIT_ROWS
+    while True:
+        got = classes.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(rows).select("id", "v", "dim").toPandas()
+        sample = {int(d): (p["id"].to_numpy(np.int64), unit(matrix(p["v"])).astype(np.float32)) for d, p in got.groupby("dim")}
+        shared = spark.sparkContext.broadcast(sample)
+        seen = graphs.mapInPandas(_audit(shared, threshold - SLACK, ef), "ef long, links long, found long")
+        table = seen.groupBy("ef").agg(F.sum("links").alias("links"), F.sum("found").alias("found")).orderBy("ef").collect()
+        if not table:
+            return ef, 0, 1.0
+        if table[0]["links"] >= AUDIT_LINKS or rows >= min(n, AUDIT_MOST):
+            break
+        rows *= 4
+    best = next((r for r in table if r["found"] >= recall * r["links"]), table[-1])
+    return best["ef"], best["links"], best["found"] / best["links"] if best["links"] else 1.0
+
+
+def _search(threshold: float, ef: int, kind: str):
+    """Graph rows (kind 0) come ahead of the query blocks (kind 1) that meet them; a task holds one graph at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
         for pdf in batches:
-            for graph, qids, qv, block in zip(pdf["graph"], pdf["ids"], pdf["vs"], pdf["block"], strict=True):
-                ids, x, layers = pickle.loads(graph)
-                x = x.astype(np.float64)
-                g = Graph(unit(x).astype(np.float32), [(n.astype(np.int64), k.astype(np.int64)) for n, k in layers])
+            for is_query, graph, qids, qv in zip(pdf["kind"], pdf["graph"], pdf["ids"], pdf["vs"], strict=True):
+                if not is_query:
+                    held = None
+                    held = _load(graph)
+                    continue
+                g, ids, copies, x = held
                 qids = np.frombuffer(qids, np.int64)
-                q = np.frombuffer(qv, np.float32).reshape(len(qids), -1).astype(np.float64)
-                a, b = links_of(g, unit(q).astype(np.float32), threshold - SLACK, ef, recall, int(block))
+                q = np.frombuffer(qv, kind).reshape(len(qids), -1).astype(np.float64)
+                a, b = links_of(g, unit(q).astype(np.float32), threshold - SLACK, ef)
                 ok = qids[a] != ids[b]
                 a, b = a[ok], b[ok]
                 keep = np.zeros(len(a), bool)
-                for i in range(0, len(a), 100_000):
-                    keep[i : i + 100_000] = cosines(q[a[i : i + 100_000]], x[b[i : i + 100_000]]) >= threshold
-                pairs = _union(qids[a[keep]], ids[b[keep]])
-                yield pd.DataFrame(pairs, columns=["src", "dst"]).astype("int64")
+                for i in range(0, len(a), 50_000):
+                    keep[i : i + 50_000] = cosines(q[a[i : i + 50_000]], x[b[i : i + 50_000]].astype(np.float64)) >= threshold
+                a, b = a[keep], b[keep]
+                others = np.bincount(a, copies[b], len(qids)).astype(np.int64)
+                linked = np.flatnonzero(others)
+                pairs = np.array(_union(qids[a], ids[b]), np.int64).reshape(-1, 2)
+                yield pd.DataFrame(
+                    {"src": np.concatenate([qids[linked], pairs[:, 0]]), "dst": np.concatenate([np.full(len(linked), -1), pairs[:, 1]]),
+                     "others": np.concatenate([others[linked], np.zeros(len(pairs), np.int64)])}
+                )
 
     return run
 
 
-def _blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("id")
-    return pd.DataFrame(
-        {
-            "dim": [int(pdf["dim"].iloc[0])], "block": [int(pdf["block"].iloc[0])],
-            "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "vs": [matrix(pdf["v"]).astype(np.float32).tobytes()],
-        }
-    )
-
-
-def _count(threshold: float):
-    """Links of each class with the classes of the other side, counted with their copies, component by component."""
-
+def _blocks(kind: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out_id, out_n = [], []
-        for _, part in pdf.groupby("component", sort=False):
-            a, b = part[part["side"] == 0], part[part["side"] == 1]
-            if not len(a) or not len(b):
-                continue
-            x, y = matrix(a["v"]), matrix(b["v"])
-            s = unit(x) @ unit(y).T
-            hit = s >= threshold
-            i, j = np.nonzero(np.abs(s - threshold) < 1e-9)  # too near to the threshold for a product to tell
-            if len(i):
-                hit[i, j] = cosines(x[i], y[j]) >= threshold
-            ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
-            hit &= ia[:, None] != ib[None, :]
-            out_id += [ia, ib] if int(part["i"].iloc[0]) != int(part["j"].iloc[0]) else [ia]
-            out_n += [hit @ b["copies"].to_numpy(np.int64)]
-            if int(part["i"].iloc[0]) != int(part["j"].iloc[0]):
-                out_n += [hit.T @ a["copies"].to_numpy(np.int64)]
-        if not out_id:
-            return pd.DataFrame({"id": [], "n": []}, dtype="int64")
-        return pd.DataFrame({"id": np.concatenate(out_id), "n": np.concatenate(out_n)})
+        pdf = pdf.sort_values("id")
+        return pd.DataFrame(
+            {
+                "dim": [int(pdf["dim"].iloc[0])], "block": [int(pdf["block"].iloc[0])],
+                "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "vs": [matrix(pdf["v"]).astype(kind).tobytes()],
+            }
+        )
 
     return run
 
 
+def _met(graphs: DataFrame, asked: DataFrame, shards: int, chunks: int) -> DataFrame:
+    """Graphs and query blocks dealt to (dim, shard, chunk), a graph once a chunk and ahead of its blocks."""
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    nothing = F.lit(None).cast("binary")
+    here = asked.select("dim").distinct()
+    left = graphs.join(F.broadcast(here), "dim", "left_semi").withColumn("chunk", every(chunks))
+    left = left.select("dim", "shard", "chunk", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("block"), "graph", nothing.alias("ids"), nothing.alias("vs"))
+    right = asked.withColumn("chunk", F.pmod("block", F.lit(chunks)).cast("long"))
+    # a shard without vectors of this length has no graph to meet
+    right = right.join(F.broadcast(graphs.select("dim", "shard")), "dim")
+    right = right.select("dim", "shard", "chunk", F.lit(1).alias("kind"), "block", nothing.alias("graph"), "ids", "vs")
+    keys = ["dim", "shard", "chunk"]
+    return left.unionByName(right).repartition(shards * chunks, *keys).sortWithinPartitions(*keys, "kind", "block").select("kind", "graph", "ids", "vs")
+
+
 def near_duplicates(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, ef: int = 48, recall: float = 0.99
 ) -> DataFrame:
@@ -161,41 +212,49 @@ def near_duplicates(
     and are kept. Vectors of different lengths never link. Rows that repeat an id count as vectors of their own with
     that id. Labels and other columns are not read; an empty table gives no rows.
     """
-    rows, _ = materialise(pick(vectors, id_col, vector_col), "vectors", "zstd")
-    classes, _ = materialise(
-        rows.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies")).withColumn("dim", F.size("v")), "classes", "zstd"
-    )
-    n = classes.count()
-    shards = max(MIN_SHARDS if n > 512 else 1, -(-n // SHARD_ROWS))
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    h = F.xxhash64("id")
-    dealt = classes.select("id", "v", "dim", F.pmod(h, F.lit(shards)).alias("shard"))
-    graphs, _ = materialise(dealt.groupBy("dim", "shard").applyInPandas(_graphs, "dim int, shard long, graph binary"), "graphs", "zstd")
-    asked = classes.select("id", "v", "dim", F.pmod(F.shiftright(h, 20), F.lit(blocks)).alias("block"))
-    asked, _ = materialise(asked.groupBy("dim", "block").applyInPandas(_blocks, "dim int, block long, ids binary, vs binary"), "blocks", "zstd")
-    queries = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    targets = graphs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    met = queries.hint("shuffle_hash").join(targets, ["dim", "shard", "block"]).select("graph", "ids", "vs", "block")
-    links, _ = materialise(met.repartition(shards * blocks).mapInPandas(_search(threshold, ef, recall), "src long, dst long"), "links")
-    found, _ = materialise(connected_components(links), "found")
-
-    size = found.groupBy("component").agg(F.count("*").alias("size"))
-    m = found.join(size, "component").join(classes, "id")
-    m = m.withColumn("blocks", F.ceil(F.col("size") / PRODUCT_BLOCK).cast("int"))
-    m = m.withColumn("at", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    both = F.array(F.lit(0), F.lit(1))
-    m = m.withColumn("side", F.explode(F.when(F.col("at") == F.col("other"), both).when(F.col("at") < F.col("other"), F.array(F.lit(0))).otherwise(F.array(F.lit(1)))))
-    # small components share groups: as many as make about a block of rows
-    groups = max(1, n // PRODUCT_BLOCK)
-    m = m.select(
-        "component", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "side", "id", "v", "copies",
-        F.when(F.col("blocks") > 1, -F.col("component") - 1).otherwise(F.pmod(F.xxhash64("component"), F.lit(groups))).alias("bucket"),
-    )
-    counts = m.groupBy("bucket", "i", "j").applyInPandas(_count(threshold), "id long, n long").groupBy("id").agg(F.sum("n").alias("others"))
-    per = classes.join(found, "id", "left").join(counts, "id", "left")
-    per = per.select("v", F.coalesce("component", "id").alias("component_id"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    known = rows.join(per, "v").select("id", "n_links", "component_id")
-    out = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
+    spark = vectors.sparkSession
+    kind = "<f4" if kind_of(vectors, vector_col) == "array<float>" else "<f8"
+    paths = []
+
+    def write(df: DataFrame, label: str) -> DataFrame:
+        out, path = materialise(df, label, "zstd")
+        paths.append(path)
+        return out
+
+    # the smallest id stands for a class; where ids repeat, several classes may have the same one, so a class is numbered
+    rows = write(pick(vectors, id_col, vector_col), "vectors")
+    classes = rows.groupBy("v").agg(F.min("id").alias("first"), F.count("*").alias("copies")).withColumn("dim", F.size("v"))
+    classes = write(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    n, widest = classes.agg(F.count("*"), F.max("dim")).first()
+    if n:
+        shards = max(MIN_SHARDS, -(-n * (int(kind[-1]) * widest + 128) // SHARD_BYTES))
+        blocks = max(1, -(-n // QUERY_BLOCK))
+        chunks = max(-(-blocks // CHUNK_BLOCKS), min(blocks, -(-TASKS // shards)))
+        dealt = classes.select("id", "v", "dim", "copies", F.pmod(F.xxhash64("v"), F.lit(shards)).alias("shard"))
+        graphs = write(dealt.groupBy("dim", "shard").applyInPandas(_graphs(kind), "dim int, shard long, graph binary"), "graphs")
+        asked = classes.select("id", "v", "dim", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
+        asked = write(asked.groupBy("dim", "block").applyInPandas(_blocks(kind), "dim int, block long, ids binary, vs binary"), "blocks")
+        with small_batches(spark, 2):
+            beam, _, _ = choose_beam(classes, graphs, n, threshold, ef, recall)
+            met = _met(graphs, asked, shards, chunks).mapInPandas(_search(threshold, beam, kind), "src long, dst long, others long")
+            found = write(met, "found")
+        comps = connected_components(found.where("dst >= 0"))
+        counts = found.where("dst < 0").groupBy(F.col("src").alias("id")).agg(F.sum("others").alias("others"))
+        per = classes.join(comps, "id", "left").join(counts, "id", "left")
+        per = per.select("v", "first", "copies", F.coalesce("component", "id").alias("component"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        smallest = per.groupBy("component").agg(F.min("first").alias("component_id"))
+        per = write(per.join(smallest, "component").select("v", "copies", "n_links", "component_id"), "per")
+        # a vector of very many copies would fill one task of the join: those, at most 1000, are broadcast
+        total = rows.count()
+        hot = F.col("copies") > max(1000, int(total * HOT_SHARE))
+        often = F.broadcast(per.where(hot).drop("copies"))
+        known = rows.join(often, "v").unionByName(rows.join(F.broadcast(per.where(hot).select("v")), "v", "left_anti").join(per.where(~hot).drop("copies"), "v"))
+        known = known.select("id", "n_links", "component_id")
+    else:
+        known = rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    out = typed(vectors, id_col, vector_col)
     rest = out.where(~(F.col("id").isNotNull() & valid(F.col("v")))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return known.unionByName(rest).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+    done, _ = materialise(known.unionByName(rest).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))), "near")
+    for path in paths:
+        discard(spark, path)
+    return done

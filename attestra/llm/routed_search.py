@@ -3,6 +3,8 @@
 On a bounded sample the neighbour graph is cut into parts of equal size, and a small network learns to name a vector's
 part. The network assigns every row to one part and sends each query to its most probable parts, as many as an audit on
 the sample needs for the wanted recall; there the query meets all rows and the nearest are reranked by exact cosine.
+Parts grow with the square root of the table up to MOST_PARTS, so that a query's cost grows slower than the table.
+Queries whose parts held too few candidates go on to the other parts.
 """
 
 from __future__ import annotations
@@ -15,12 +17,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from attestra.llm.vectors import cosines, matrix, pick, unit
-from attestra.runtime import materialise
+from attestra.llm.vectors import cosines, kind_of, matrix, pick, unit
+from attestra.runtime import discard, materialise
 
 #: Rows and queries that one task compares at most, on average.
 ROW_BLOCK = 8192
 QUERY_BLOCK = 2048
+#: Parts at least, where the sample can fill them, and at most; sample rows that a part should have.
+LEAST_PARTS, MOST_PARTS = 16, 256
+PART_ROWS = 128
+#: Sample rows that a part must have for the router to learn it.
+LEARN_ROWS = 24
 
 
 @dataclass(frozen=True)
@@ -113,10 +120,20 @@ def train(x: np.ndarray, soft: np.ndarray, hidden: int = 128, epochs: int = 40,
     return tuple(w)
 
 
+def parts_for(n: int) -> int:
+    """Parts of a table of n rows: the power of two next to a fourteenth of its root, within the bounds."""
+    return int(min(MOST_PARTS, max(LEAST_PARTS, 2 ** round(np.log2(max(n, 1) ** 0.5 / 14)))))
+
+
 def fit(x: np.ndarray, k: int = 5, parts: int = 16, recall: float = 0.97, degree: int = 10) -> Router:
-    """Learn parts and router from sample vectors; ``probes`` is the least number that reaches ``recall`` on the audit rows."""
+    """Learn parts and router from sample vectors; ``probes`` is the least number that reaches ``recall`` on the audit rows.
+
+    The parts are halved until each has LEARN_ROWS rows of the sample; one part needs no router.
+    """
     x = unit(x)
-    if len(x) < 64 * parts:
+    while parts > 1 and len(x) < LEARN_ROWS * parts:
+        parts //= 2
+    if parts == 1:
         d = x.shape[1]
         return Router(np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
     near = neighbours(x, degree)
@@ -137,7 +154,9 @@ def fit(x: np.ndarray, k: int = 5, parts: int = 16, recall: float = 0.97, degree
     return Router(router.w1, router.b1, router.w2, router.b2, probes)
 
 
-def _route(router, queries: bool):
+def _route(router, queries: bool, rest: bool = False):
+    """A row's own part, or a query's most probable parts; with ``rest`` all its other parts."""
+
     def run(batches):
         for pdf in batches:
             if not len(pdf):
@@ -145,7 +164,7 @@ def _route(router, queries: bool):
             r = router.value
             z = r.logits(matrix(pdf["v"]))
             if queries:
-                top = np.argsort(-z, axis=1, kind="stable")[:, : r.probes]
+                top = np.argsort(-z, axis=1, kind="stable")[:, r.probes if rest else 0 : None if rest else r.probes]
                 yield pdf.iloc[np.repeat(np.arange(len(pdf)), top.shape[1])].assign(part=top.ravel())[["id", "v", "part"]]
             else:
                 yield pdf.assign(part=z.argmax(1))[["id", "v", "part"]]
@@ -167,12 +186,18 @@ def nearest(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: i
     x, xid = x[keep], xid[keep]
     s = unit(q) @ unit(x).T
     s[qid[:, None] == xid[None, :]] = -np.inf
-    m = min(k, s.shape[1])
-    bar = -np.partition(-s, m - 1, axis=1)[:, m - 1 : m] - 1e-9
+    ids, begin = np.unique(xid, return_index=True)
+    best = s if len(ids) == len(xid) else np.maximum.reduceat(s, begin, axis=1)  # an id counts once, as its nearest vector
+    m = min(k, best.shape[1])
+    bar = -np.partition(-best, m - 1, axis=1)[:, m - 1 : m] - 1e-9
     i, j = np.nonzero((s >= bar) & np.isfinite(s))
     exact = cosines(q[i], x[j]) if len(i) else np.empty(0)
     o = np.lexsort((xid[j], -exact, i))
     i, j, exact = i[o], j[o], exact[o]
+    if len(ids) < len(xid) and len(i):
+        _, once = np.unique(np.stack([i, xid[j]]), axis=1, return_index=True)
+        once = np.sort(once)
+        i, j, exact = i[once], j[once], exact[once]
     start = np.r_[0, np.flatnonzero(np.diff(i)) + 1] if len(i) else np.empty(0, np.int64)
     place = np.arange(len(i)) - np.repeat(start, np.diff(np.r_[start, len(i)]))
     ok = place < k
@@ -190,42 +215,67 @@ def _compare(k: int):
     return run
 
 
+def _meet(placed: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): each query's k best of every block of rows in its parts."""
+    size = placed.groupBy("part").agg(F.ceil(F.count("*") / ROW_BLOCK).cast("int").alias("rows"))
+    ask = asked.groupBy("part").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("asks"))
+    shape = size.join(ask, "part")  # a row a part
+    deal = lambda df, mine, other, a, b: df.join(F.broadcast(shape), "part").select(
+        "part", F.pmod(F.xxhash64("id", "v"), mine).cast("int").alias(a), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(b), "id", "v"
+    )
+    keys = ["part", "salt", "block"]
+    left, right = deal(placed, "rows", "asks", "salt", "block").groupBy(*keys), deal(asked, "asks", "rows", "block", "salt").groupBy(*keys)
+    return left.cogroup(right).applyInPandas(_compare(k), "query_id long, vec_id long, score double")
+
+
 def search(
-    vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 4096, parts: int = 16, recall: float = 0.97
-) -> DataFrame:
+    vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
+    sample_rows: int | None = None, parts: int | None = None, recall: float = 0.97,
+) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row for which ``is_query`` (over column ``id``) holds.
 
     Score is the cosine of the original vectors in double precision; a row is never its own neighbour, ties go to the
     smaller id, and fewer candidates than k are all returned. Vectors that are null, empty, zero or hold null or
     non-finite components, and rows without an id, take no part; vectors of different lengths never meet. Rows that
-    repeat an id count once for each different vector. The model is fit on the ``sample_rows`` rows whose ids have the
-    smallest hashes; all rows are indexed.
+    repeat an id are one candidate, as near as the nearest of its vectors, and one query, which asks with all of them.
+    An empty table gives no rows. The model is fit on the ``sample_rows`` rows whose ids have the smallest hashes (128 a
+    part, 4096 to 32768); all rows are indexed.
     """
     spark = vectors.sparkSession
-    rows, _ = materialise(pick(vectors, id_col, vector_col).dropDuplicates(["id", "v"]).withColumn("dim", F.size("v")), "vectors", "zstd")
-    hits = []
-    for dim in [r[0] for r in rows.select("dim").distinct().collect()]:  # lengths of vectors, one in practice
+    kind = kind_of(vectors, vector_col)
+    paths = []
+
+    def write(df: DataFrame, label: str) -> DataFrame:
+        out, path = materialise(df, label, "zstd")
+        paths.append(path)
+        return out
+
+    rows = write(pick(vectors, id_col, vector_col).dropDuplicates(["id", "v"]).withColumn("dim", F.size("v")), "vectors")
+    best = []
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    top = lambda found: (
+        found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    )
+    for dim, n in rows.groupBy("dim").count().collect():  # lengths of vectors, one in practice
         mine = rows.where(F.col("dim") == dim).select("id", "v")
-        sample = mine.orderBy(F.xxhash64("id"), "id").limit(sample_rows).toPandas()  # at most sample_rows vectors
-        router = fit(matrix(sample["v"]), k, parts, recall)
-        shared = spark.sparkContext.broadcast(router)
-        placed, _ = materialise(mine.mapInPandas(_route(shared, False), "id long, v array<float>, part long"), "placed", "zstd")
-        asked, _ = materialise(mine.where(is_query).mapInPandas(_route(shared, True), "id long, v array<float>, part long"), "asked", "zstd")
-        size = placed.groupBy("part").agg(F.ceil(F.count("*") / ROW_BLOCK).cast("int").alias("rows"))
-        ask = asked.groupBy("part").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("asks"))
-        shape = size.join(ask, "part")
-        deal = lambda df, mine, other, a, b: df.join(F.broadcast(shape), "part").select(
-            "part", F.pmod(F.xxhash64("id"), mine).cast("int").alias(a), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(b), "id", "v"
-        )
-        left = deal(placed, "rows", "asks", "salt", "block")
-        right = deal(asked, "asks", "rows", "block", "salt")
-        keys = ["part", "salt", "block"]
-        hits.append(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_compare(k), "query_id long, vec_id long, score double"))
-    if not hits:
+        wanted = parts or parts_for(n)
+        sample = mine.orderBy(F.xxhash64("id"), "id").limit(sample_rows or max(4096, PART_ROWS * wanted)).toPandas()
+        shared = spark.sparkContext.broadcast(fit(matrix(sample["v"]), k, wanted, recall))
+        placed = write(mine.mapInPandas(_route(shared, False), f"id long, v {kind}, part long"), "placed")
+        asked = write(mine.where(is_query).mapInPandas(_route(shared, True), f"id long, v {kind}, part long"), "asked")
+        first = write(top(_meet(placed, asked, k)), "first")
+        short = asked.select(F.col("id").alias("query_id")).distinct().join(first.groupBy("query_id").count(), "query_id", "left")
+        short = write(short.where(F.coalesce("count", F.lit(0)) < min(k, n - 1)).select(F.col("query_id").alias("id")), "short")
+        if shared.value.probes < shared.value.parts and short.head(1):  # parts with too few rows: the other parts as well
+            again = write(mine.join(short, "id").mapInPandas(_route(shared, True, True), f"id long, v {kind}, part long"), "again")
+            first = write(top(first.select("query_id", "vec_id", "score").unionByName(_meet(placed, again, k))), "all")
+        best.append(first)
+    if not best:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    found = hits[0]
-    for h in hits[1:]:
-        found = found.unionByName(h)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    # a query meets each row in one part only, so no pair comes twice
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = best[0]
+    for more in best[1:]:
+        found = top(found.unionByName(more).select("query_id", "vec_id", "score"))
+    done, _ = materialise(found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "nearest")
+    for path in paths:
+        discard(spark, path)
+    return done

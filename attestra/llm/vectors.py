@@ -15,10 +15,19 @@ def valid(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def kind_of(df: DataFrame, vector_col: str) -> str:
+    """The type in which vectors are kept: floats as they are, all other numbers as doubles, so that none loses digits."""
+    return "array<float>" if dict(df.dtypes)[vector_col] == "array<float>" else "array<double>"
+
+
+def typed(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, v) of all rows."""
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind_of(df, vector_col)).alias("v"))
+
+
 def pick(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v) of the vectors that take part and have an id."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
-    return rows.where(F.col("id").isNotNull() & valid(F.col("v")))
+    return typed(df, id_col, vector_col).where(F.col("id").isNotNull() & valid(F.col("v")))
 
 
 def matrix(column) -> np.ndarray:
