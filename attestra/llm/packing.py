@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from attestra.llm.tokens import default_vocabulary, encoder, ids_of
-from attestra.runtime import materialise
+from attestra.runtime import bound_batches, materialise
 
 _TOKENS = "id long, part long, at long, n long, wide boolean, ids binary"
 _PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -87,16 +87,18 @@ def pack(
     vocabulary: str | None = None,
     end: int = 0,
     digest: bool = False,
-    added: bool = False,
+    added: bool = True,
 ) -> DataFrame:
     """One row a piece: ``doc_id``, ``start``, ``length``, ``doc_tokens``, ``sequence_id``, ``offset`` and ``ids``.
 
     ``ids`` is the piece's ids as little-endian unsigned 32-bit integers; with ``digest`` it is ``ids_crc32`` instead.
-    With ``added`` a text's literal added tokens give their own ids, as by default in the vocabulary file's tokenizer.
+    A text's literal added tokens give their own ids, as by default in the vocabulary file's tokenizer; without ``added``
+    they are ordinary text.
     The documents keep the order in which the table's partitions hold them. Null and empty texts give the end id alone;
     rows that repeat are packed as often as they come; a null id stays null. Only the last sequence can be short, so
     padding is below one window. An empty table gives no rows.
     """
+    bound_batches(docs.sparkSession)
     path = vocabulary or default_vocabulary()
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     stored, _ = materialise(src.mapInArrow(_tokenise(path, end, added), _TOKENS), "tokens", "zstd")
@@ -128,8 +130,10 @@ def sequences(pieces: DataFrame, window: int = 1024) -> DataFrame:
     """Whole sequences (``sequence_id``, ``ids``, ``length``) of the pieces of ``pack``.
 
     A task hands on the windows that lie wholly inside its rows as they are; only boundary records, the parts of
-    windows that cross tasks, are shuffled and joined. A window holds at most ``window`` ids, so no group grows.
+    windows that cross tasks, are shuffled and joined. A window holds at most ``window`` ids, so no group grows. No
+    pieces give no rows; pieces that repeat whole are not expected, as ``pack`` makes none.
     """
+    bound_batches(pieces.sparkSession)
     runs, _ = materialise(pieces.select("sequence_id", "offset", "ids").mapInArrow(_assemble, "sequence_id long, offset long, ids binary"), "runs", "zstd")
     whole = runs.where(F.octet_length("ids") == 4 * window).select("sequence_id", "ids")
     edges = runs.where(F.octet_length("ids") < 4 * window).groupBy("sequence_id")

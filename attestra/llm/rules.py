@@ -25,26 +25,27 @@ class Ensemble:
     intercept: float
     rules: tuple[tuple[tuple[Condition, ...], float], ...]
 
-    def expression(self) -> Column:
-        """Probability of label 1 over columns named like the statistics."""
+    def expression(self, prefix: str = "s_") -> Column:
+        """Probability of label 1 over columns named like the statistics, behind ``prefix``."""
         x = F.lit(float(self.intercept))
         for conditions, weight in self.rules:
-            x = x + F.when(_all(conditions), F.lit(float(weight))).otherwise(F.lit(0.0))
+            x = x + F.when(_all(conditions, prefix), F.lit(float(weight))).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-x))
 
     def sql(self) -> str:
         """The same as SQL text."""
         terms = [repr(float(self.intercept))]
         for conditions, weight in self.rules:
-            test = " and ".join(f"{s} {'>' if above else '<='} {bound!r}" for s, above, bound in conditions)
+            test = " and ".join(f"s_{s} {'>' if above else '<='} {bound!r}" for s, above, bound in conditions)
             terms.append(f"case when {test} then {float(weight)!r} else 0.0 end")
         return f"1 / (1 + exp(-({' + '.join(terms)})))"
 
 
-def _all(conditions: tuple[Condition, ...]) -> Column:
+def _all(conditions: tuple[Condition, ...], prefix: str) -> Column:
     out = F.lit(True)
     for s, above, bound in conditions:
-        out = out & (F.col(s) > bound if above else F.col(s) <= bound)
+        value = F.col(prefix + s)
+        out = out & (value > bound if above else value <= bound)
     return out
 
 
@@ -57,37 +58,44 @@ SYMBOLS = "#$%&*+<=>@^_~\\/"
 MARKS = ".,;:"
 
 
-def statistics(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, list[str]]:
-    """The table with the statistics of each whole text, named s_*; null counts as empty. Returns their names too."""
-    base = df.withColumn("s_text", F.coalesce(F.col(text_col), F.lit("")))
-    t = F.col("s_text")
-    base = base.withColumn("s_words", F.filter(F.split(t, "[ \\t\\n\\r]+"), lambda x: x != ""))
+#: Names of the statistics, behind a prefix.
+STATISTICS = ("length", "word", "fresh", "rich", "symbols", "shouts", "asks", "bars", "marks", "digits", "upper", "breaks", "again")
+
+
+def free_prefix(columns: list[str], prefix: str = "s_") -> str:
+    """``prefix``, lengthened until no column's name starts with it."""
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = "x" + prefix
+    return prefix
+
+
+def statistics(df: DataFrame, text_col: str = "text", prefix: str = "s_") -> DataFrame:
+    """The table with STATISTICS of each whole text behind ``prefix``, which no column may start with; null counts as empty."""
+    at = lambda name: F.col(prefix + name)
+    put = lambda d: {prefix + k: v for k, v in d.items()}
+    base = df.withColumn(f"{prefix}0text", F.coalesce(F.col(text_col), F.lit("")))
+    t = at("0text")
+    base = base.withColumn(f"{prefix}0words", F.filter(F.split(t, "[ \\t\\n\\r]+"), lambda x: x != ""))
+    words = at("0words")
     base = base.withColumns(
-        {
-            "s_n": F.greatest(F.size("s_words"), F.lit(1)).cast("double"),
-            "s_len": F.greatest(F.length(t), F.lit(1)).cast("double"),
-            "s_kinds": F.size(F.array_distinct("s_words")).cast("double"),
-            "s_lines": F.split(t, "\n"),
-        }
+        put(
+            {
+                "0n": F.greatest(F.size(words), F.lit(1)).cast("double"),
+                "0len": F.greatest(F.length(t), F.lit(1)).cast("double"),
+                "0kinds": F.size(F.array_distinct(words)).cast("double"),
+                "0lines": F.split(t, "\n"),
+            }
+        )
     )
+    n, size, kinds, lines = at("0n"), at("0len"), at("0kinds"), at("0lines")
     upper = F.length(t) - F.length(F.regexp_replace(t, "\\p{Lu}+", ""))
-    stats = {
-        "s_length": F.log1p("s_len"),
-        "s_word": F.col("s_len") / F.col("s_n"),
-        "s_fresh": F.col("s_kinds") / F.col("s_n"),
-        "s_rich": F.col("s_kinds") / F.sqrt("s_n"),
-        "s_symbols": _without(t, SYMBOLS) / F.col("s_len"),
-        "s_shouts": _without(t, "!") / F.col("s_len"),
-        "s_asks": _without(t, "?") / F.col("s_len"),
-        "s_bars": _without(t, "|") / F.col("s_len"),
-        "s_marks": _without(t, MARKS) / F.col("s_n"),
-        "s_digits": _without(t, "0123456789") / F.col("s_len"),
-        "s_upper": upper / F.col("s_len"),
-        "s_breaks": F.size("s_lines") / F.col("s_n"),
-        "s_again": 1 - F.size(F.array_distinct("s_lines")) / F.size("s_lines"),
-    }
-    out = base.withColumns(stats).drop("s_text", "s_words", "s_n", "s_len", "s_kinds", "s_lines")
-    return out, list(stats)
+    stats = (
+        F.log1p(size), size / n, kinds / n, kinds / F.sqrt(n), _without(t, SYMBOLS) / size, _without(t, "!") / size, _without(t, "?") / size,
+        _without(t, "|") / size, _without(t, MARKS) / n, _without(t, "0123456789") / size, upper / size, F.size(lines) / n,
+        1 - F.size(F.array_distinct(lines)) / F.size(lines),
+    )
+    out = base.withColumns(put(dict(zip(STATISTICS, stats, strict=True))))
+    return out.drop(*[f"{prefix}0{c}" for c in ("text", "words", "n", "len", "kinds", "lines")])
 
 
 def grow(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, bins: int = 48, rate: float = 0.3, least: int = 15) -> list[tuple[tuple[int, bool, float], ...]]:
@@ -170,8 +178,9 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, label: str = "quality",
 
     With no labelled row of one of the labels there is no rule and every text scores the share of label 1.
     """
-    stats, names = statistics(sample(docs, labels, label, use, max_rows))
-    got = stats.select("y", *names).toPandas()  # at most max_rows rows of numbers
+    names = list(STATISTICS)
+    stats = statistics(sample(docs, labels, label, use, max_rows))
+    got = stats.select("y", *[F.col(f"s_{c}").alias(c) for c in names]).toPandas()  # at most max_rows rows of numbers
     y = got["y"].to_numpy(float)
     share = (y.sum() + 1) / (len(y) + 2)
     if not 0 < y.sum() < len(y):
@@ -189,10 +198,18 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, label: str = "quality",
     return Ensemble(float(b), tuple(kept))
 
 
-def score(docs: DataFrame, model: Ensemble, text_col: str = "text") -> DataFrame:
-    """The table with a column ``score``: probability of label 1, from whole texts.
+def score(docs: DataFrame, model: Ensemble, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """The table with a column ``score_col``: probability of label 1, from whole texts.
 
-    Null and empty texts have the statistics of an empty text; repeated rows are scored each; other columns stay.
+    Null and empty texts have the statistics of an empty text; repeated rows are scored each; an empty table stays empty.
+    All other columns stay as they are, whatever their names; a column that is already named ``score_col`` is replaced.
     """
-    stats, names = statistics(docs, text_col)
-    return stats.withColumn("score", model.expression()).drop(*names)
+    prefix = free_prefix([*docs.columns, score_col])
+    scored = statistics(docs, text_col, prefix).withColumn(score_col, model.expression(prefix))
+    return scored.drop(*[prefix + c for c in STATISTICS])
+
+
+def keep_good(docs: DataFrame, model: Ensemble, limit: float, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose probability is at least ``limit``."""
+    name = free_prefix(docs.columns, "rating")
+    return score(docs, model, text_col, name).where(F.col(name) >= limit).drop(name)

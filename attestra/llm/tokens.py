@@ -24,7 +24,7 @@ _SPACES = re.compile(r"\s\s")
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, added: bool = False):
+def encoder(path: str, added: bool = True):
     """text -> ids as the vocabulary file's own tokenizer gives them; none is put around a text.
 
     Where a text holds an added token literally it is taken for ordinary text, or, with ``added``, gives the token's id

@@ -1,10 +1,12 @@
 """Toxic passages as maximum-scoring segments of token log-odds, calibrated by an extreme-value law.
 
-Learning: for each token the log-odds of toxic against other labelled documents under a Dirichlet prior that follows
-the token's own frequency, divided by its standard deviation. Tokens whose score is significant weigh in a passage by
-their log-odds; every other token costs a constant, so that a random text drifts down. One linear scan finds all
-maximal segments. The best score among n tokens of clean text follows a Gumbel law whose location grows with log n;
-it turns a score into the log of its tail probability, and a logistic curve over that into a probability.
+Learning: a token is judged by the signed root of the likelihood ratio of its counts in toxic and other labelled
+documents, against the bound that the largest of as many chance values would reach, so the rule is the same at every
+size. Documents are counted first; for the candidates that leaves, different left neighbours are counted, so that
+copies of a text count once. A token's weight is its log-odds under a Dirichlet prior; every other token costs a
+constant, so that a random text drifts down. One linear scan finds all maximal segments. The best score among n tokens
+of clean text follows a Gumbel law whose location grows with log n; it turns a score into the log of its tail
+probability, and a logistic curve over that into a probability.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm.labelled import sample
+from attestra.runtime import bound_batches, discard, materialise, small_batches
 
 _WORD = re.compile(r"\w+")
 
@@ -45,13 +48,15 @@ def tokens(text: str | None) -> list[str]:
 def segments(positions: list[int], scores: list[float], cost: float) -> list[tuple[int, int, float]]:
     """All maximal segments (first token, last token, score) of a text whose tokens at ``positions`` have ``scores``, all others -cost.
 
-    Linear in the number of positive tokens: a stack of candidate segments with the running total before and after each.
+    Linear in the number of scored tokens: a stack of candidate segments with the running total before and after each.
     """
     stack: list[list[float]] = []  # left, right, total before, total after
     total, last = 0.0, -1
     for p, s in zip(positions, scores, strict=True):
         total -= cost * (p - last - 1)
         before, total, last = total, total + s, p
+        if s <= 0:
+            continue
         left = float(p)
         while True:
             k = len(stack) - 1
@@ -94,14 +99,6 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([n[1][w] for w in words], pa.int64()), pa.array([n[0][w] for w in words], pa.int64())], ["token", "n1", "n0"])
 
 
-def log_odds(n1: np.ndarray, n0: np.ndarray, docs1: float, docs0: float, prior: float) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds ratio of presence under a Dirichlet prior of weight ``prior`` and its z-score, token by token."""
-    a = prior * (n1 + n0) / (docs1 + docs0)
-    t1, t0 = docs1 + prior, docs0 + prior
-    d = np.log((n1 + a) / np.maximum(t1 - n1 - a, 1e-9)) - np.log((n0 + a) / np.maximum(t0 - n0 - a, 1e-9))
-    return d, d / np.sqrt(1 / (n1 + a) + 1 / (n0 + a))
-
-
 def _best(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -114,6 +111,33 @@ def _best(model: Model):
     return run
 
 
+def _contexts(wanted):
+    """(token, y, left neighbour) of the wanted tokens, each once a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen = set()
+            for text, y in zip(b.column("text"), b.column("y").to_pylist(), strict=True):
+                words = tokens(text.as_py())
+                seen.update((w, y, left) for left, w in zip(["", *words], words, strict=False) if w in wanted.value)
+            rows = sorted(seen)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], ["token", "y", "left"])
+
+    return run
+
+
+def significance(n1: float, n0: float, share: float) -> float:
+    """Signed root of the likelihood ratio of counts n1 and n0 whose expected shares are ``share`` and the rest."""
+    e1, e0 = (n1 + n0) * share, (n1 + n0) * (1 - share)
+    g = 2 * ((n1 * math.log(n1 / e1) if n1 else 0.0) + (n0 * math.log(n0 / e0) if n0 else 0.0))
+    return math.copysign(math.sqrt(max(g, 0.0)), n1 - e1)
+
+
+def log_odds(n1: float, n0: float, share: float, prior: float) -> float:
+    """Log-odds of label 1 beyond those of ``share``, under a Dirichlet prior of weight ``prior`` that follows ``share``."""
+    return math.log((n1 + prior * share) / (n0 + prior * (1 - share))) - math.log(share / (1 - share))
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -121,34 +145,54 @@ def fit(
     label: str = "toxic",
     max_rows: int = 20_000,
     max_tokens: int = 5_000,
-    min_docs: int = 5,
-    min_z: float = 6.0,
-    prior: float = 1000.0,
+    min_odds: float = 1.0,
+    against: float = 1.0,
+    prior: float = 1.0,
     cost: float = 0.05,
     significant: float = 4.0,
 ) -> Model:
-    """Learn from at most ``max_rows`` labelled documents for which ``use`` holds; the model keeps at most ``max_tokens`` tokens.
+    """Learn from at most ``max_rows`` labelled documents for which ``use`` holds.
 
-    With no labelled row of one of the labels nothing is significant and every text scores the share of label 1.
+    The model is sparse: of the ``max_tokens`` most significant tokens those that stay significant by their contexts,
+    in favour with odds of ``min_odds`` nats; a token weighs no more than ``against`` against. With no labelled row of
+    one of the labels nothing is significant and every text scores the share of label 1.
     """
-    rows = sample(docs, labels, label, use, max_rows).where("text is not null")
-    seen = rows.mapInArrow(_count, "token string, n1 long, n0 long").groupBy("token").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    spark = docs.sparkSession
+    with small_batches(spark, 500):
+        rows, rows_path = materialise(sample(docs, labels, label, use, max_rows).where("text is not null"), "labelled", "zstd")
+        model = _learn(rows, max_tokens, min_odds, against, prior, cost, significant)
+    discard(spark, rows_path)
+    return model
+
+
+def _learn(rows: DataFrame, max_tokens: int, min_odds: float, against: float, prior: float, cost: float, significant: float) -> Model:
+    spark = rows.sparkSession
     by = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     docs1, docs0 = float(by.get(1, 0)), float(by.get(0, 0))
-    share = (docs1 + 1) / (docs1 + docs0 + 20)
-    flat = Model({}, cost, 1.0, 1.0, 1.0, math.log(share / (1 - share)), significant)
+    base = (docs1 + 1) / (docs1 + docs0 + 20)
     if not docs1 or not docs0:
-        return flat
-    # the two counts give the log-odds in Spark's own arithmetic too; only significant tokens reach the driver
+        return Model({}, cost, 1.0, 1.0, 1.0, math.log(base / (1 - base)), significant)
+    share = docs1 / (docs1 + docs0)
+    seen = rows.mapInArrow(_count, "token string, n1 long, n0 long").groupBy("token").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    seen, seen_path = materialise(seen, "tokens", "zstd")
+    bound = math.sqrt(2 * math.log(max(seen.count(), 2)))
     n1, n0 = F.col("n1"), F.col("n0")
-    a = F.lit(prior) * (n1 + n0) / (docs1 + docs0)
-    d = F.log((n1 + a) / F.greatest(docs1 + prior - n1 - a, F.lit(1e-9))) - F.log((n0 + a) / F.greatest(docs0 + prior - n0 - a, F.lit(1e-9)))
-    z = d / F.sqrt(1 / (n1 + a) + 1 / (n0 + a))
-    top = seen.where(n1 + n0 >= min_docs).select("token", z.alias("z"), d.alias("d")).where(F.col("z") >= min_z).orderBy(F.desc("z"), "token").limit(max_tokens)
-    picked = top.collect()
-    # a passage must not be carried by words that merely come with a few copied documents: keep what odds of 3 nats support
-    model = Model({r["token"]: r["d"] for r in picked if r["d"] >= 3.0}, cost, 1.0, 1.0, 1.0, 0.0, significant)
-    got = rows.mapInArrow(_best(model), "y int, n long, best double").toPandas()  # at most max_rows rows
+    part = lambda n, q: F.when(n > 0, n * F.log(n / ((n1 + n0) * q))).otherwise(0.0)
+    g = F.sqrt(F.greatest(F.lit(0.0), 2 * (part(n1, F.lit(share)) + part(n0, F.lit(1 - share)))))
+    likely = seen.select("token", g.alias("g")).where(F.col("g") >= bound).orderBy(F.desc("g"), "token").limit(max_tokens)
+    wanted = spark.sparkContext.broadcast({r["token"] for r in likely.collect()})  # at most max_tokens
+    contexts = rows.mapInArrow(_contexts(wanted), "token string, y int, left string").groupBy("token", "y").agg(F.count_distinct("left").alias("n"))
+    held: dict[str, list[int]] = {}
+    for r in contexts.collect():  # at most two rows a wanted token
+        held.setdefault(r["token"], [0, 0])[r["y"]] = r["n"]
+    discard(spark, seen_path)
+    weights = {}
+    for token, (n, m) in sorted(held.items()):
+        z, d = significance(m, n, share), log_odds(m, n, share, prior)
+        if z >= bound and d >= min_odds or z <= -bound:
+            weights[token] = max(d, -against)
+    model = Model(weights, cost, 1.0, 1.0, 1.0, 0.0, significant)
+    got = rows.mapInArrow(_best(model), "y int, n long, best double").toPandas()  # at most max_rows rows of numbers
     clean = got[(got["y"] == 0) & (got["n"] > 0)]
     # moments of best - scale * log n, which has the same Gumbel law at every length
     scale = 0.5
@@ -196,21 +240,28 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Whole texts are scanned once. Null, empty and wordless texts have no passage and score as clean text; repeated rows
     are scored each; a null id stays null. Only the id and the text are read.
     """
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(model), _SCORED)
 
 
-def _keep(model: Model, limit: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for text in b.column("text"):
-                words = tokens(text.as_py())
-                ok.append(probability(max((s for _, _, s in passages(words, model)), default=0.0), len(words), model) < limit)
-            yield b.filter(pa.array(ok, pa.bool_()))
+def is_clean(text: Column, model: Model, limit: float = 0.7) -> Column:
+    """Whether a text's score is below ``limit``; only the text travels to Python. Null and wordless texts have no passage."""
 
-    return run
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        out = []
+        for text in texts:
+            words = tokens(text.as_py())
+            out.append(probability(max((s for _, _, s in passages(words, model)), default=0.0), len(words), model) < limit)
+        return pa.array(out, pa.bool_())
+
+    return clean(text)
 
 
 def keep_clean(docs: DataFrame, model: Model, limit: float = 0.7) -> DataFrame:
-    """The rows, with all their columns, whose score is below ``limit``; one pass, no join."""
-    return docs.mapInArrow(_keep(model, limit), docs.schema)
+    """The rows, with all their columns, whose score is below ``limit``; one pass, no join.
+
+    Repeated rows are decided alike; an empty table stays empty.
+    """
+    bound_batches(docs.sparkSession)
+    return docs.where(is_clean(F.col("text"), model, limit))
