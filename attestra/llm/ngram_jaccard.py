@@ -4,12 +4,19 @@ The full product is never formed. A document's shingles are put in one global or
 and only the columns that the size bounds leave are multiplied: of a document with n shingles the first
 ``n - ceil(t n) + 1``, since a pair that shares none of them can't reach the threshold. A pair that first meets at
 places i and j overlaps in at most ``min(n1 - i, n2 - j)`` shingles; pairs for which that is below the overlap that
-their sizes ask for are discarded before any set is read. What is left is counted exactly on the whole sets.
+their sizes ask for are discarded before any set is read.
 
 Only connectivity is wanted, so the product runs in two passes. First every document meets the members of its columns
 that stand earliest in them; found links join components. Then the columns that still hold more than one component are
-multiplied whole, short ones as pairs of light rows, long ones in blocks of documents whose dense products stay in the
-task; only links that join components leave it. No pair of different sets that reaches the threshold is lost.
+multiplied. Short columns are dealt to blocks; a block's task multiplies its rows by themselves and accumulates the
+overlap counts of pairs, blocks' counts are added up, pairs whose count and bounds can't reach the threshold are
+discarded and the rest are counted on their whole sets. A long column is cut into blocks of documents, whose products
+over whole sets stay in the task; only links that join components leave it. No pair of different sets that reaches the
+threshold is lost.
+
+Shingles are 64-bit hashes, told apart within a document by their words, so a set's size is exact. Documents with one
+set are one class by a 128-bit digest. Two different shingles of a corpus with s distinct ones share a hash with odds of
+s^2 / 2^65; such a clash changes a link only where it lies in a compared pair that misses the threshold by one shingle.
 """
 
 from __future__ import annotations
@@ -37,68 +44,94 @@ BLOCK = 768
 LIGHT_BLOCK = 2048
 #: Ids that may be broadcast (8 MB) to pick the sets to verify; beyond it the sets are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-_BYTES = 6
+#: Rows of short columns that one task multiplies, and shingles that a block of documents holds, on average.
+PRODUCT_ROWS = 20_000
+BLOCK_SHINGLES = 1_000_000
 
 
-def shingle_ids(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct 48-bit hashes of the word shingles of a whole text: A-Z lower-cased, words split at ASCII space.
-
-    Fewer words than ``width`` make one shingle of all words; no word or no text makes none.
-    """
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    k = min(width, len(w))
+def _mix(w: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hashes of all runs of ``width`` words, from the hashes of the words."""
     with np.errstate(over="ignore"):
-        h = np.zeros(len(w) - k + 1, np.uint64)
-        for i in range(k):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + w[i : len(w) - k + 1 + i]
-        h += np.uint64(k)
+        h = np.zeros(len(w) - width + 1, np.uint64)
+        for i in range(width):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + w[i : len(w) - width + 1 + i]
+        h += np.uint64(width)
         h ^= h >> np.uint64(31)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
-    return np.unique(h >> np.uint64(16))
+    return h
 
 
-def pack_ids(ids: np.ndarray) -> bytes:
-    return ids.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_BYTES].tobytes()
+def shingle_ids(text: str | None, width: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles of a whole text: A-Z lower-cased, words split at ASCII space.
+
+    Fewer words than ``width`` make one shingle of all words; no word or no text makes none. Equal hashes of one text
+    are compared word by word; should two shingles clash, the later ones are hashed anew from their words.
+    """
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if not words:
+        return np.empty(0, np.int64)
+    k = min(width, len(words))
+    h = _mix(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), k).view(np.int64)
+    ids = np.unique(h)
+    if len(ids) < len(h):
+        order = np.argsort(h, kind="stable")
+        same = np.flatnonzero(h[order[1:]] == h[order[:-1]])
+        if any(words[i : i + k] != words[j : j + k] for i, j in zip(order[same].tolist(), order[same + 1].tolist(), strict=True)):
+            return _told_apart(words, h, k)
+    return ids
+
+
+def _told_apart(words: list[bytes], h: np.ndarray, k: int) -> np.ndarray:
+    """One hash for each distinct shingle of a text in which two share one."""
+    taken: dict[int, bytes] = {}
+    for i in range(len(h)):
+        shingle, value, seed = b" ".join(words[i : i + k]), int(h[i]), 1
+        while taken.setdefault(value, shingle) != shingle:
+            value, seed = int(np.uint64(xxhash.xxh64_intdigest(shingle, seed)).astype(np.int64)), seed + 1
+    return np.array(sorted(taken), np.int64)
 
 
 def unpack_ids(packed) -> np.ndarray:
-    raw = np.frombuffer(packed, np.uint8).reshape(-1, _BYTES)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :_BYTES] = raw
-    return out.view("<u8").ravel().astype(np.int64)
+    return np.frombuffer(packed, "<i8")
 
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, key, packed = [], [], []
+            n, key, check, packed = [], [], [], []
             for text in b.column("text"):
                 ids = shingle_ids(text.as_py(), width)
                 n.append(len(ids))
-                packed.append(pack_ids(ids) if len(ids) else None)
-                key.append(int(np.uint64(xxhash.xxh64_intdigest(packed[-1], 7)).astype(np.int64)) if len(ids) else None)
+                packed.append(ids.astype("<i8").tobytes() if len(ids) else None)
+                both = np.frombuffer(xxhash.xxh3_128_digest(packed[-1]), "<i8").tolist() if len(ids) else (None, None)
+                key.append(both[0])
+                check.append(both[1])
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(packed, pa.binary())],
-                ["id", "n", "key", "ids"],
+                [b.column("id"), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(check, pa.int64()), pa.array(packed, pa.binary())],
+                ["id", "n", "key", "check", "ids"],
             )
 
     return run
 
 
-def _prefix(n: int, percent: int) -> int:
+def _prefix(n, percent: int):
+    """Columns of a set of n shingles that the size bound leaves."""
     return n - (percent * n + 99) // 100 + 1
 
 
-def _prefix_length(n: Column, percent: int) -> Column:
-    return n - F.ceil(percent * n / F.lit(100)).cast("long") + 1
+def _by_column(rows: DataFrame, **aggregates: Column) -> DataFrame:
+    """Rows with aggregates of their column. Hot columns, at most MAX_HEAVY, are added up by partial sums that are
+    broadcast back, so that no task holds one whole; the others go through a window."""
+    light, hot = rows.where(~F.col("hot")), rows.where("hot")
+    over = Window.partitionBy("shingle")
+    sums = hot.groupBy("shingle").agg(*[a.alias(k) for k, a in aggregates.items()])
+    light = light.withColumns({k: a.over(over) for k, a in aggregates.items()})
+    return light.unionByName(hot.join(F.broadcast(sums), "shingle").select(light.columns))
 
 
 def _postings(percent: int, heavy, light_only: bool):
-    """Rows (shingle, key, n, pos) of the columns that the size bounds leave; a task emits a set once as far as it can tell."""
+    """Rows (shingle, key, n, pos, hot) of the columns that the size bounds leave; a task emits a set once as far as it can tell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = heavy.value if heavy is not None else np.empty(0, np.int64)
@@ -112,15 +145,17 @@ def _postings(percent: int, heavy, light_only: bool):
                     seen.add(key)
                 ids = unpack_ids(packed.as_buffer())
                 p = n - -(-2 * percent * n // (100 + percent)) + 1 if light_only else _prefix(n, percent)
+                hot = np.zeros(len(ids), bool)
                 if len(last):
                     at = np.searchsorted(last, ids)
                     hot = last[np.minimum(at, len(last) - 1)] == ids
                     ids = np.concatenate([ids[~hot], ids[hot]])
-                ids = ids[:p]
-                out.append((ids, np.full(len(ids), key), np.full(len(ids), n, np.int32), np.arange(len(ids), dtype=np.int32)))
+                    hot = np.sort(hot)
+                ids, hot = ids[:p], hot[:p]
+                out.append((ids, np.full(len(ids), key), np.full(len(ids), n, np.int32), np.arange(len(ids), dtype=np.int32), hot))
             if out:
                 columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-                names = ["shingle", "key", "n", "pos"][: 1 if light_only else 4]
+                names = ["shingle", "key", "n", "pos", "hot"][: 1 if light_only else 5]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns[: len(names)]], names)
 
     return run
@@ -132,13 +167,45 @@ def linked(overlap, n1, n2, percent: int):
 
 
 def _verify(percent: int):
+    """Whole-set overlaps of a batch of pairs: the entries of the product that are asked for, counted in one sort."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keep = [
-                linked(len(np.intersect1d(x := unpack_ids(p), y := unpack_ids(q), assume_unique=True)), len(x), len(y), percent)
-                for p, q in zip(b["ids1"], b["ids2"], strict=True)
-            ]
-            yield b.loc[keep, ["src", "dst"]]
+            sets = [[unpack_ids(v) for v in b[c]] for c in ("ids1", "ids2")]
+            n1, n2 = (np.array([len(v) for v in side], np.int64) for side in sets)
+            if not len(b):
+                continue
+            ids = np.concatenate([*sets[0], *sets[1]])
+            pair = np.concatenate([np.repeat(np.arange(len(b)), n1), np.repeat(np.arange(len(b)), n2)])
+            order = np.lexsort((ids, pair))
+            ids, pair = ids[order], pair[order]
+            twice = (ids[1:] == ids[:-1]) & (pair[1:] == pair[:-1])
+            overlap = np.bincount(pair[1:][twice], minlength=len(b))
+            yield b.loc[linked(overlap, n1, n2, percent), ["src", "dst"]]
+
+    return run
+
+
+def _partial_product(percent: int):
+    """Overlap counts of the pairs that meet in a block of columns, without those that sizes or components exclude."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["shingle", "key"])
+        column, key, n, pos, comp, crowd = (pdf[c].to_numpy(np.int64) for c in ("shingle", "key", "n", "pos", "comp", "crowd"))
+        src, dst = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for step in range(1, len(pdf)):  # rows so far apart in one column; columns are short
+            near = np.flatnonzero(column[step:] == column[:-step])
+            if not len(near):
+                break
+            far = near + step
+            ok = (comp[near] != comp[far]) & (100 * np.minimum(n[near], n[far]) >= percent * np.maximum(n[near], n[far]))
+            src.append(near[ok])
+            dst.append(far[ok])
+        i, j = np.concatenate(src), np.concatenate(dst)
+        reach = linked(np.minimum(n[i] - pos[i], n[j] - pos[j]), n[i], n[j], percent)
+        spare = np.minimum(crowd[i], crowd[j]) + np.maximum(n[i] - _prefix(n[i], percent), n[j] - _prefix(n[j], percent))
+        pairs = pd.DataFrame({"src": key[i], "dst": key[j], "n1": n[i], "n2": n[j], "spare": spare, "reach": reach})
+        return pairs.groupby(["src", "dst", "n1", "n2", "spare"], sort=False, as_index=False).agg(met=("reach", "size"), reach=("reach", "max")).astype({"met": "int64", "reach": "bool"})
 
     return run
 
@@ -187,9 +254,10 @@ def _may_link(percent: int):
     return run
 
 
-def _in_blocks(members: DataFrame, size: int) -> DataFrame:
-    """Rows of columns dealt to pairs of blocks (shingle, i, j) with about ``size`` rows a side."""
-    b = members.withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("shingle")) / size).cast("int"))
+def _in_blocks(members: DataFrame, size: int, shingles: int) -> DataFrame:
+    """Rows of columns dealt to pairs of blocks (shingle, i, j) with about ``size`` rows and ``shingles`` shingles a side."""
+    blocks = F.ceil(F.greatest(F.count("*") / size, F.sum("n") / shingles)).cast("int")
+    b = members.join(members.groupBy("shingle").agg(blocks.alias("blocks")), "shingle")
     b = b.withColumn("at", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
     b = b.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     both, one, two = F.array(F.lit(0), F.lit(1)), F.array(F.lit(0)), F.array(F.lit(1))
@@ -276,31 +344,35 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent
             del scratch[path]
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    schema = "id long, n long, key long, ids binary"
+    schema = "id long, n long, key long, check long, ids binary"
     sets = write(src.mapInArrow(_sets(width), schema), "sets", "none")
-    full = sets.where("key is not null")
-    known = full.where("id is not null")
-    reps = write(known.groupBy("key").agg(F.min("id").alias("rep")), "reps")
+    known = sets.where("key is not null and id is not null")
+    reps = write(known.groupBy("key").agg(F.min("id").alias("rep"), F.min("check").alias("lo"), F.max("check").alias("hi")), "reps")
+    if reps.where("lo <> hi").head(1):  # two digests share 64 bits: the whole digest is hashed anew
+        sets = write(sets.withColumn("key", F.when(F.col("key").isNotNull(), F.xxhash64("key", "check", F.lit(1)))), "sets", "none")
+        known = sets.where("key is not null and id is not null")
+        reps = write(known.groupBy("key").agg(F.min("id").alias("rep")), "reps")
+    reps = reps.select("key", "rep")
 
     counted = known.select("key", "n", "ids").mapInArrow(_postings(percent, None, True), "shingle long")
     top = counted.groupBy("shingle").count().where(F.col("count") >= MIN_HEAVY)
     top = top.orderBy(F.desc("count"), "shingle").limit(MAX_HEAVY).select("shingle").toPandas()["shingle"]
     heavy = spark.sparkContext.broadcast(np.sort(top.to_numpy(dtype=np.int64)))
 
-    by_shingle = Window.partitionBy("shingle")
     posted = known.select("key", "n", "ids").mapInArrow(
-        _postings(percent, heavy, False), "shingle long, key long, n int, pos int"
+        _postings(percent, heavy, False), "shingle long, key long, n int, pos int, hot boolean"
     )
+    # columns of one document go; a hot column is spread, as it holds many
+    apart = Window.partitionBy("shingle", F.when(F.col("hot"), F.pmod(F.xxhash64("key"), F.lit(1024))).otherwise(0))
     posted = (
-        posted.withColumns({"lo": F.min("key").over(by_shingle), "hi": F.max("key").over(by_shingle)})
-        .where("lo < hi")
+        posted.withColumns({"lo": F.min("key").over(apart), "hi": F.max("key").over(apart)})
+        .where("hot or lo < hi")
         .dropDuplicates(["shingle", "key"])
-        .select("shingle", "key", "n", "pos")
+        .select("shingle", "key", "n", "pos", "hot")
     )
     columns = write(posted, "columns")
 
-    hub = F.min(F.struct("pos", "key", "n")).over(by_shingle)
-    met = columns.select("key", F.struct("n", "pos").alias("a"), hub.alias("b"))
+    met = _by_column(columns, b=F.min(F.struct("pos", "key", "n"))).select("key", F.struct("n", "pos").alias("a"), "b")
     met = met.where(F.col("key") != F.col("b.key")).where(_overlap_may_reach("a", "b", percent))
     met = met.groupBy("key").agg(
         F.slice(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("a.pos", "b.key"))), lambda x: x["key"])), 1, 3).alias("hubs")
@@ -314,31 +386,20 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent
     drop("picked", "wanted")
     found = connected_components(links)
 
-    left = columns.join(found.withColumnRenamed("id", "key"), "key", "left")
-    left = left.select("shingle", "key", "n", "pos", F.coalesce("component", "key").alias("comp"))
-    left = left.withColumns(
-        {"lo": F.min("comp").over(by_shingle), "hi": F.max("comp").over(by_shingle), "long": F.count("*").over(by_shingle)}
-    ).where("lo < hi")
-    left = write(left.select("shingle", "key", "n", "pos", "comp", "long"), "left")
+    joined = columns.join(found.withColumnRenamed("id", "key"), "key", "left")
+    joined = write(joined.select("shingle", "key", "n", "pos", "hot", F.coalesce("component", "key").alias("comp")), "joined")
     drop("columns")
+    left = _by_column(joined, lo=F.min("comp"), hi=F.max("comp"), long=F.count("*")).where("lo < hi")
+    left = write(left.select("shingle", "key", "n", "pos", "comp", "long"), "left")
+    drop("joined")
     # every shared shingle of two prefixes is in a column that holds both: what short columns show, what long ones could
     # add and what lies behind the prefix that ends first, of whichever of the two, bounds the whole overlap
     crowd = left.groupBy("key").agg(F.count_if(F.col("long") > SHORT).alias("crowd"))
     short = left.where(F.col("long") <= SHORT).join(crowd, "key")
-    pairs = short.alias("a").join(
-        short.alias("b"),
-        (F.col("a.shingle") == F.col("b.shingle"))
-        & (F.col("a.key") < F.col("b.key"))
-        & (F.col("a.comp") != F.col("b.comp"))
-        & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")),
-    )
-    rest = lambda c: F.col(f"{c}.n") - _prefix_length(F.col(f"{c}.n"), percent)
-    spare = F.least("a.crowd", "b.crowd") + F.greatest(rest("a"), rest("b"))
-    pairs = pairs.select(
-        F.col("a.key").alias("src"), F.col("b.key").alias("dst"), F.col("a.n").alias("n1"), F.col("b.n").alias("n2"), spare.alias("spare"),
-        _overlap_may_reach("a", "b", percent).alias("reach"),
-    )
-    pairs = pairs.groupBy("src", "dst", "n1", "n2", "spare").agg(F.count("*").alias("met"), F.max("reach").alias("reach"))
+    blocks = max(1, -(-left.where(F.col("long") <= SHORT).count() // PRODUCT_ROWS))
+    short = short.select("shingle", "key", "n", "pos", "comp", "crowd", F.pmod(F.xxhash64("shingle"), F.lit(blocks)).alias("block"))
+    partial = short.groupBy("block").applyInPandas(_partial_product(percent), "src long, dst long, n1 long, n2 long, spare long, met long, reach boolean")
+    pairs = partial.groupBy("src", "dst", "n1", "n2", "spare").agg(F.sum("met").alias("met"), F.max("reach").alias("reach"))
     pairs = pairs.where(F.col("reach") & linked(F.col("met") + F.col("spare"), F.col("n1"), F.col("n2"), percent))
     pairs = pairs.select("src", "dst").join(tested, ["src", "dst"], "left_anti")
     pairs = write(pairs, "pairs")
@@ -347,10 +408,10 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent
         ends = pairs.select(F.col("src").alias("key")).unionByName(pairs.select(F.col("dst").alias("key")))
         more.append(_with_sets(pairs, _sets_of(known, reps, ends, write)).mapInPandas(_verify(percent), "src long, dst long"))
     wide = left.where(F.col("long") > SHORT).select("shingle", "key", "n", "pos", "comp")
-    may = _in_blocks(wide, LIGHT_BLOCK).groupBy("shingle", "i", "j").applyInPandas(_may_link(percent), "shingle long, key long")
-    wide = write(wide.select("shingle", "key", "comp").join(may.distinct(), ["shingle", "key"], "left_semi"), "wide")
+    may = _in_blocks(wide, LIGHT_BLOCK, 1 << 62).groupBy("shingle", "i", "j").applyInPandas(_may_link(percent), "shingle long, key long")
+    wide = write(wide.select("shingle", "key", "n", "comp").join(may.distinct(), ["shingle", "key"], "left_semi"), "wide")
     if wide.head(1):
-        blocks = _in_blocks(wide, BLOCK).join(_sets_of(known, reps, wide.select("key"), write), "key")
+        blocks = _in_blocks(wide, BLOCK, BLOCK_SHINGLES).join(_sets_of(known, reps, wide.select("key"), write), "key")
         more.append(blocks.groupBy("shingle", "i", "j").applyInPandas(_block_links(percent), "src long, dst long"))
     if more:
         written = [write(m, "extra") for m in more]

@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def escape(value: Column) -> Column:
+    """A value that can't hold a mark of the template: ``<|`` gets a backslash between, and one more where there are some."""
+    return F.regexp_replace(F.coalesce(value, F.lit("")), "<(\\\\*)\\|", "<$1\\\\|")
+
+
 def render(role: Column, text: Column) -> Column:
-    """One turn of the template."""
-    return F.concat(F.lit("<|"), F.coalesce(role, F.lit("")), F.lit("|>\n"), F.coalesce(text, F.lit("")), F.lit("<|end|>\n"))
+    """One turn of the template; role and text are escaped, so that neither can forge a mark."""
+    return F.concat(F.lit("<|"), escape(role), F.lit("|>\n"), escape(text), F.lit("<|end|>\n"))
 
 
 def format_pairs(turns: DataFrame, pairs: DataFrame, loss_role: str = "assistant") -> DataFrame:
@@ -19,8 +24,10 @@ def format_pairs(turns: DataFrame, pairs: DataFrame, loss_role: str = "assistant
     ``turns`` has conv_id, turn, role, text; ``pairs`` has pair_id, chosen_id, rejected_id. The prompt is the longest
     common prefix of turns: same place, role and text, nulls equal. Turns are ordered by turn (null last), then role
     and text. A conversation without turns has an empty completion; equal conversations have two empty ones. Spans
-    are the text and end mark of the turns of ``loss_role``, without the role line. A pair is grouped by its own id,
-    so no group is larger than two conversations.
+    are the text and end mark of the turns of ``loss_role``, without the role line. Marks of the template inside a role
+    or text are escaped. A pair is grouped by its own id, so no group is larger than two conversations. Turns that repeat
+    whole are turns of their own; pair ids must differ. Other columns are not read, and clashing ones don't matter; no
+    pairs give no rows, no turns give empty texts.
     """
     side = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("conv_id")) for i, c in enumerate(("chosen_id", "rejected_id"))]))
     ends = pairs.select("pair_id", side.alias("s")).select("pair_id", "s.side", "s.conv_id")
@@ -34,7 +41,7 @@ def format_pairs(turns: DataFrame, pairs: DataFrame, loss_role: str = "assistant
     t = t.withColumn("shared", F.coalesce(F.col("at") < first, F.lit(True))).withColumn("body", render(F.col("role"), F.col("text")))
     inside = Window.partitionBy("pair_id", "side", "shared").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("stop", F.sum(F.length("body")).over(inside))
-    begin = F.col("stop") - F.length("body") + F.length(F.coalesce("role", F.lit(""))) + 5
+    begin = F.col("stop") - F.length("body") + F.length(escape(F.col("role"))) + 5
     t = t.withColumn("span", F.when(F.col("role") == loss_role, F.concat_ws("-", begin.cast("string"), F.col("stop").cast("string"))))
 
     def joined(keep: Column, column: str, by: str) -> Column:

@@ -106,7 +106,7 @@ with recursive vecs as (select vec_id as id, embedding::double[] as v from embed
 {_COMPONENTS}
 select c.id as vec_id, (select count(*) from links l where l.a = c.id)::bigint as n_links, c.component_id, c.id = c.component_id as kept
 from comps c""",
-    "op2_preference_format": """
+    "op2_preference_format": r"""
 with ends as (select conv_id // 2 as pair_id, min(conv_id) as chosen_id, max(conv_id) as rejected_id from conversations group by 1 having min(conv_id) < max(conv_id)),
 t as (select e.pair_id, (c.conv_id <> e.chosen_id)::int as side, c.role, c.text,
              row_number() over (partition by c.conv_id order by c.turn nulls last, c.role, c.text) as pos
@@ -114,9 +114,10 @@ t as (select e.pair_id, (c.conv_id <> e.chosen_id)::int as side, c.role, c.text,
 d as (select *, count(*) over w = 2 and min(role) over w is not distinct from max(role) over w and min(text) over w is not distinct from max(text) over w as same
       from t window w as (partition by pair_id, pos)),
 f as (select *, min(case when not same then pos end) over (partition by pair_id) as first from d),
-b as (select *, coalesce(pos < first, true) as shared, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) as body from f),
+b as (select *, coalesce(pos < first, true) as shared, '<|' || esc_role || '|>' || chr(10) || esc_text || '<|end|>' || chr(10) as body
+       from (select *, regexp_replace(coalesce(role, ''), '<(\\*)\|', '<\1\\|', 'g') as esc_role, regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\1\\|', 'g') as esc_text from f)),
 s as (select *, sum(length(body)) over (partition by pair_id, side, shared order by pos) as stop from b),
-m as (select *, case when role = 'assistant' then (stop - length(body) + length(role) + 5)::varchar || '-' || stop::varchar end as span from s)
+m as (select *, case when role = 'assistant' then (stop - length(body) + length(esc_role) + 5)::varchar || '-' || stop::varchar end as span from s)
 select e.pair_id, e.chosen_id, e.rejected_id, count(*) filter (shared and side = 0)::bigint as prompt_turns,
   coalesce(string_agg(body, '' order by pos) filter (shared and side = 0), '') as prompt,
   coalesce(string_agg(body, '' order by pos) filter (not shared and side = 0), '') as chosen,

@@ -1,16 +1,15 @@
 """URL rules kept as a sorted array of 64-bit digests.
 
-The index is three flat files: digests in ascending order, the ends of the stored rule strings, and their bytes. Tasks
-map them into memory, probe all candidate strings of a batch with one binary search, and compare the stored string of
-every hit, so a collision of digests can't decide a url. Lists up to a stated size travel to every executor once;
-larger ones are cut into shards by digest and meet the distinct candidate strings there.
+The index is one flat file: digests in ascending order, the ends of the stored rule strings, and their bytes. Tasks map
+it into memory, probe all candidate strings of a batch with one binary search, and compare the stored string of every
+hit, so a collision of digests can't decide a url. A string is a host, a slash, which no host holds, and a path, so that
+hosts and paths stay apart. Lists up to a stated size travel to every executor once, by way of the shared folder; larger
+ones are cut into shards by digest and meet the distinct candidate strings there.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,10 +21,10 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.runtime import materialise
+from attestra.runtime import bound_batches, discard, materialise, put, scratch_path
 
 #: Bytes of an index that is copied to every executor; above it the shards are used.
-MAX_BYTES = 256 << 20
+MAX_BYTES = 16 << 20
 SHARD_BYTES = 64 << 20
 #: Rows of candidate strings that one task of a shard probes at most, on average.
 SHARD_PROBES = 2_000_000
@@ -57,24 +56,21 @@ def digest(rule: str) -> int:
     return xxhash.xxh64_intdigest(rule.encode("utf-8", "surrogatepass"), 42)
 
 
-def write_index(rules: dict[str, str], where: str) -> None:
-    """Files keys (sorted digests), ends and text below ``where``; a rule's last byte is its verdict."""
+def build_index(rules: dict[str, str]) -> bytes:
+    """Number of rules, sorted digests, ends and text as one piece of bytes; a rule's last byte is its verdict."""
     rows = sorted((digest(r), r) for r in rules)
-    np.array([d for d, _ in rows], "<u8").tofile(f"{where}.keys")
     text = [r.encode("utf-8", "surrogatepass") + rules[r][:1].encode() for _, r in rows]
-    np.cumsum([len(t) for t in text], dtype="<i8").tofile(f"{where}.ends")
-    with open(f"{where}.text", "wb") as f:
-        f.writelines(text)
+    keys, ends = np.array([d for d, _ in rows], "<u8"), np.cumsum([len(t) for t in text], dtype="<i8")
+    return b"".join([np.array([len(rows)], "<i8").tobytes(), keys.tobytes(), ends.astype("<i8").tobytes(), *text])
 
 
 class Index:
-    """The files mapped into memory."""
+    """The file mapped into memory."""
 
     def __init__(self, where: str) -> None:
-        empty = os.path.getsize(f"{where}.keys") == 0
-        self.keys = np.empty(0, "<u8") if empty else np.memmap(f"{where}.keys", "<u8", "r")
-        self.ends = np.empty(0, "<i8") if empty else np.memmap(f"{where}.ends", "<i8", "r")
-        self.text = np.empty(0, np.uint8) if empty else np.memmap(f"{where}.text", np.uint8, "r")
+        data = np.memmap(where, np.uint8, "r")
+        n = int(data[:8].view("<i8")[0])
+        self.keys, self.ends, self.text = data[8 : 8 + 8 * n].view("<u8"), data[8 + 8 * n : 8 + 16 * n].view("<i8"), data[8 + 16 * n :]
 
     def lookup(self, strings: list[str]) -> list[str | None]:
         """The stored verdict (a or b) of each string, None for those that aren't stored."""
@@ -106,7 +102,7 @@ def candidates(hosts: list[str], paths: list[str], shape: Shape) -> tuple[list[i
         for e in ends:
             for q in heads:
                 rows.append(i)
-                strings.append(e + q)
+                strings.append(f"{e}/{q}")
     return rows, strings
 
 
@@ -117,12 +113,13 @@ def _probe(name: str, shape: Shape, default: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = None
         for b in batches:
-            index = index or Index(SparkFiles.get(f"{name}.keys").removesuffix(".keys"))
+            index = index or Index(SparkFiles.get(name))
             hosts, paths = b.column("host").to_pylist(), b.column("path").to_pylist()
             rows, strings = candidates(hosts, paths, shape)
             rule: list[str | None] = [None] * b.num_rows
             verdict = [default] * b.num_rows
             for i, s, v in zip(rows, strings, index.lookup(strings), strict=True):
+                s = s.replace("/", "", 1)
                 if v and (rule[i] is None or (len(s), rule[i]) > (len(rule[i]), s)):
                     rule[i], verdict[i] = s, _VERDICTS[v]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("host"), b.column("path"), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], ["id", "host", "path", "rule", "verdict"])
@@ -143,7 +140,8 @@ def _shard(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     if not len(left) or not len(right):
         return pd.DataFrame({"string": [], "verdict": []}, dtype="object")
     with tempfile.TemporaryDirectory() as d:  # the task's own; gone when it ends
-        write_index(dict(zip(right["rule"], right["verdict"], strict=True)), f"{d}/index")
+        with open(f"{d}/index", "wb") as f:
+            f.write(build_index(dict(zip(right["rule"], right["verdict"], strict=True))))
         strings = left["string"].tolist()
         got = Index(f"{d}/index").lookup(strings)
     return pd.DataFrame([(s, v) for s, v in zip(strings, got, strict=True) if v], columns=["string", "verdict"])
@@ -156,16 +154,17 @@ def judge(
 
     ``rules`` has host, path and verdict (allow or block). A rule fits its host and all subdomains where the url's path
     starts with the rule's; the longest string wins, ties go to the smaller string. Of rules stored twice block
-    wins. No rule: ``default``. Null urls and urls without :// have an empty host and path and fit nothing. Repeated
+    wins; a rule without a host or verdict is none. No rule: ``default``. Null urls and urls without :// have an empty host and path and fit nothing. Repeated
     rows are judged each; other columns are not read; an empty list gives ``default`` everywhere.
     """
     spark = pages.sparkSession
     low = F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    stored = rules.where("host is not null and host <> ''").select(low.alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
-    stored = stored.groupBy(F.concat("host", "path").alias("rule")).agg(
+    stored = rules.where("host <> '' and verdict is not null").where(~F.col("host").rlike("[/?#]"))  # no url has such a host
+    stored = stored.select(low.alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
+    stored = stored.groupBy(F.concat_ws("/", "host", "path").alias("rule")).agg(
         F.max(F.substring("verdict", 1, 1)).alias("verdict"), F.first("host").alias("host"), F.max(F.length("path")).alias("k")
     )
-    stored, _ = materialise(stored, "rules")
+    stored, stored_path = materialise(stored, "rules")
     facts = stored.agg(
         F.collect_set(F.size(F.split("host", "\\."))), F.collect_set("k"), F.coalesce(F.sum(F.octet_length("rule") + 24), F.lit(0))
     ).first()
@@ -173,15 +172,15 @@ def judge(
     urls = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     urls = urls.select("id", F.coalesce(host(F.col("url")), F.lit("")).alias("host"), F.coalesce(path(F.col("url")), F.lit("")).alias("path"))
     kind = dict(urls.dtypes)["id"]
+    bound_batches(spark, 2000)
     if facts[2] <= max_bytes:
-        name = f"rules-{uuid.uuid4().hex}"
-        where = f"{tempfile.mkdtemp(prefix='attestra-')}/{name}"
-        write_index({r["rule"]: r["verdict"] for r in stored.collect()}, where)  # at most max_bytes
-        for part in ("keys", "ends", "text"):
-            spark.sparkContext.addFile(f"{where}.{part}")
-        return urls.mapInArrow(_probe(name, shape, default), f"id {kind}, host string, path string, rule string, verdict string")
+        where = scratch_path(spark, "rules")
+        put(spark, where, build_index({r["rule"]: r["verdict"] for r in stored.collect()}))  # at most max_bytes
+        discard(spark, stored_path)
+        spark.sparkContext.addFile(where)
+        return urls.mapInArrow(_probe(where.rsplit("/", 1)[-1], shape, default), f"id {kind}, host string, path string, rule string, verdict string")
     urls, _ = materialise(urls.withColumn("row", F.monotonically_increasing_id()), "urls", "zstd")
-    probes, _ = materialise(urls.mapInArrow(_explode(shape), "row long, string string"), "probes", "zstd")
+    probes, probes_path = materialise(urls.mapInArrow(_explode(shape), "row long, string string"), "probes", "zstd")
     distinct = probes.select("string").distinct()
     shards = max(1, -(-facts[2] // SHARD_BYTES))
     salts = max(1, -(-probes.count() // (SHARD_PROBES * shards)))
@@ -189,8 +188,12 @@ def judge(
     left = distinct.select(place("string"), F.pmod(F.hash("string"), F.lit(salts)).alias("salt"), "string")
     right = stored.select(place("rule"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "rule", "verdict")
     hits = left.groupBy("shard", "salt").cogroup(right.groupBy("shard", "salt")).applyInPandas(_shard, "string string, verdict string")
+    rule = F.regexp_replace("string", "^([^/]*)/", "$1")
     best = probes.join(hits, "string").groupBy("row").agg(
-        F.min_by(F.struct(F.col("string").alias("rule"), "verdict"), F.struct(-F.length("string"), F.col("string"))).alias("best")
+        F.min_by(F.struct(rule.alias("rule"), "verdict"), F.struct(-F.length("string"), rule)).alias("best")
     )
     long = F.when(F.col("best.verdict") == "b", "block").when(F.col("best.verdict") == "a", "allow").otherwise(default)
-    return urls.join(best, "row", "left").select("id", "host", "path", F.col("best.rule").alias("rule"), long.alias("verdict"))
+    done, _ = materialise(urls.join(best, "row", "left").select("id", "host", "path", F.col("best.rule").alias("rule"), long.alias("verdict")), "judged", "zstd")
+    for used in (stored_path, probes_path):
+        discard(spark, used)
+    return done

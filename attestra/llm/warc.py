@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from attestra.runtime import materialise, scratch_path
+from attestra.runtime import discard, materialise, scratch_path
 
 MAGIC = "WARC/1.1\r\n"
 MIN_REVISIT = 100
@@ -31,31 +31,37 @@ def _record_id(page: Column) -> Column:
 
 
 def decide(pages: DataFrame) -> DataFrame:
-    """(page_id, refers_to) of the pages that revisit another: equal payloads of at least 100 bytes, smallest page_id first.
+    """(digest, refers_to): of each payload of at least 100 bytes that pages of different ids have, the smallest page_id.
 
-    Only ids and digests are grouped and joined; a group's size never matters, as each row meets one minimum. Rows
-    without a page_id are responses.
+    Only ids and digests are grouped, with partial sums, so a group's size never matters. A row with that payload and a
+    larger page_id revisits it. Rows without a page_id, and rows that repeat the smallest one, are responses.
     """
     light = pages.where(F.col("page_id").isNotNull() & (F.octet_length(F.col("html")) >= MIN_REVISIT))
-    light = light.select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("digest"))
-    light, _ = materialise(light, "digests", "zstd")
-    first = light.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("top")).where("refers_to < top")
-    pairs = light.join(first, "digest").where("page_id > refers_to")
-    return pairs.select("page_id", "refers_to").distinct()
+    light = light.select("page_id", F.unhex(F.sha2(F.col("html").cast("binary"), 256)).alias("digest"))
+    ends = light.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("top"))
+    return ends.where("refers_to < top").select("digest", "refers_to")
+
+
+def target_uri(url: Column) -> Column:
+    """An address as one header value: printable ASCII as it is, all other characters percent-encoded as UTF-8."""
+    one = lambda c: F.when(c.rlike("[\\x21-\\x7E]"), c).when(c == " ", "%20").otherwise(F.url_encode(c))
+    return F.when(url.rlike("^[\\x21-\\x7E]*\\z"), url).otherwise(F.array_join(F.transform(F.split(url, ""), one), ""))
 
 
 def write(pages: DataFrame, out: str, page_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> None:
     """Write one record a row below ``out``: response records, and revisit records for payloads that another page has.
 
-    A null payload is empty; a null or odd url is percent-encoded so that it stays on one line. Rows that repeat a
-    page_id are written each.
+    A null payload is empty; a null or empty url has no Target-URI line, an odd one is percent-encoded so that it stays
+    on one line. Rows that repeat a page_id are written each, decided by their own payload. Other columns are not read.
     """
     src = pages.select(F.col(page_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    revisits, _ = materialise(decide(src), "revisits", "zstd")  # its size decides how Spark joins it
-    rows = src.join(revisits, "page_id", "left")
+    first, path = materialise(decide(src), "firsts", "zstd")  # its size decides how Spark joins it
+    digest = F.unhex(F.sha2(F.col("html").cast("binary"), 256))
+    rows = src.withColumn("digest", digest).join(first, "digest", "left")
+    rows = rows.withColumn("refers_to", F.when((F.octet_length("html") >= MIN_REVISIT) & (F.col("page_id") > F.col("refers_to")), F.col("refers_to")))
     body = F.col("html").cast("binary")
     again = F.col("refers_to").isNotNull()
-    uri = F.coalesce(F.url_encode("url"), F.lit(""))
+    uri = F.when(F.col("url") != "", F.concat(F.lit("WARC-Target-URI: "), target_uri(F.col("url")), F.lit("\r\n")))
     block = F.when(again, F.lit(_HTTP)).otherwise(F.concat(F.lit(_HTTP), F.col("html")))
     size = F.lit(len(_HTTP)) + F.when(again, 0).otherwise(F.octet_length(body))
     end = F.lit("\r\n")
@@ -63,8 +69,8 @@ def write(pages: DataFrame, out: str, page_col: str = "page_id", url_col: str =
         F.lit(MAGIC),
         F.lit("WARC-Type: "), F.when(again, "revisit").otherwise("response"), end,
         F.lit("WARC-Record-ID: "), F.coalesce(_record_id(F.col("page_id")), F.lit("<urn:page:>")), end,
-        F.lit(f"WARC-Date: {date}\r\nWARC-Target-URI: "), uri, end,
-        F.lit("WARC-Payload-Digest: sha256:"), F.sha2(body, 256), end,
+        F.lit(f"WARC-Date: {date}\r\n"), F.coalesce(uri, F.lit("")),
+        F.lit("WARC-Payload-Digest: sha256:"), F.lower(F.hex("digest")), end,
         F.lit("X-Payload-Length: "), F.octet_length(body).cast("string"), end,
         F.when(again, F.concat(F.lit("WARC-Refers-To: "), _record_id(F.col("refers_to")), F.lit(f"\r\nWARC-Profile: {_PROFILE}\r\n"))).otherwise(""),
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), size.cast("string"), F.lit("\r\n\r\n"),
@@ -72,6 +78,7 @@ def write(pages: DataFrame, out: str, page_col: str = "page_id", url_col: str =
     )
     # the writer ends each row with a line feed, the last byte of a record
     rows.select(record.alias("value")).write.text(out)
+    discard(rows.sparkSession, path)
 
 
 def _field(name: str) -> Column:
@@ -128,6 +135,13 @@ def read(spark, out: str) -> DataFrame:
     Columns: ``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to``, ``sound`` (whether the
     digest of the payload read equals the one noted; null for revisits). Bytes after a broken chain are not trusted.
     """
+    paths = []
+
+    def keep(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+        done, path = materialise(df, label, "zstd")
+        paths.append(path)
+        return done, path
+
     p = _pieces(spark, out)
     gap = F.instr(F.decode("raw", "ISO-8859-1"), "\r\n\r\n")
     # the header has no multi-byte text, so its end in characters of an 8-bit decoding is its end in bytes
@@ -144,7 +158,7 @@ def read(spark, out: str) -> DataFrame:
         F.regexp_extract("head", "WARC-Payload-Digest: sha256:([0-9a-f]{64})", 1).alias("noted"), _long(_field("X-Payload-Length")).alias("noted_bytes"),
         F.when(whole, F.sha2(payload, 256)).alias("digest"),
     )
-    light, light_path = materialise(light, "candidates", "zstd")
+    light, _ = keep(light, "candidates")
     # offsets: two prefix sums, over a file's blocks and within each block
     step = F.col("length") + len(MAGIC)
     blocks = light.groupBy("file", "block").agg(F.sum(step).alias("n"))
@@ -153,33 +167,33 @@ def read(spark, out: str) -> DataFrame:
     placed = light.withColumn("within", within).join(blocks.select("file", "block", ahead.alias("ahead")), ["file", "block"])
     start = F.col("ahead") + F.col("within") - len(MAGIC)
     placed = placed.withColumn("start", start).withColumn("after", F.col("start") + len(MAGIC) + F.col("gap") + 3 + F.col("size") + 4)
-    placed, placed_path = materialise(placed.drop("within", "ahead", "seq"), "placed", "zstd")
+    placed, _ = keep(placed.drop("within", "ahead", "seq"), "placed")
     cand = placed.where("start >= 0 and gap > 0 and size >= 0 and record_type is not null").select("file", "block", "start", "after")
     kinds = "file string, block long, start long, after long, leaves long"
-    chains, chains_path = materialise(cand.groupBy("file", "block").applyInPandas(_chains, kinds), "chains", "zstd")
+    chains, _ = keep(cand.groupBy("file", "block").applyInPandas(_chains, kinds), "chains")
     # between blocks: where the chain of an exit leaves its own block, doubled until no pointer moves
     hop = chains.select("file", "block", F.col("start").alias("entry"), F.col("leaves").alias("to"))
     used = chains.select("file", F.col("leaves").alias("entry")).distinct()
     hop = hop.join(used, ["file", "entry"], "left_semi").unionByName(hop.where("entry = 0")).distinct()
-    hop, _ = materialise(hop, "hops")
+    hop, _ = keep(hop, "hops")
     reach = hop.where("entry = 0").select("file", "entry")
     jump = hop.select("file", "entry", "to")
     known = -1
     while True:
-        reach, _ = materialise(reach.unionByName(reach.join(jump, ["file", "entry"]).select("file", F.col("to").alias("entry"))).distinct(), "reach")
+        reach, _ = keep(reach.unionByName(reach.join(jump, ["file", "entry"]).select("file", F.col("to").alias("entry"))).distinct(), "reach")
         now = reach.count()
         if now == known:
             break
         known = now
         second = jump.select("file", F.col("entry").alias("to"), F.col("to").alias("next"))
-        jump, _ = materialise(jump.join(second, ["file", "to"], "left").select("file", "entry", F.coalesce("next", "to").alias("to")), "jump")
+        jump, _ = keep(jump.join(second, ["file", "to"], "left").select("file", "entry", F.coalesce("next", "to").alias("to")), "jump")
     entries = hop.join(reach, ["file", "entry"], "left_semi").select("file", "block", "entry")
     true = cand.groupBy("file", "block").cogroup(entries.groupBy("file", "block")).applyInPandas(_reached, "file string, start long, after long")
-    true, _ = materialise(true, "true", "zstd")
+    true, _ = keep(true, "true")
     records = placed.join(true.select("file", "start"), ["file", "start"], "left_semi")
     # records whose payload held the magic: their pieces lie between their start and their end
     broken = records.where("digest is null and record_type = 'response'").select("file", "start", "after", "gap", "size")
-    broken, _ = materialise(broken, "broken")
+    broken, _ = keep(broken, "broken")
     if broken.head(1):
         spans = broken.withColumn("span", F.explode(F.sequence(F.floor(F.col("start") / SPAN), F.floor((F.col("after") - 1) / SPAN))))
         spans = spans.select("file", "span", F.col("start").alias("owner"), "after", F.col("gap").alias("own_gap"), F.col("size").alias("own_size"))
@@ -201,18 +215,24 @@ def read(spark, out: str) -> DataFrame:
         healed = joined.withColumn("text", text).select("file", F.col("owner").alias("start"), F.sha2(body, 256).alias("healed"))
         records = records.join(healed, ["file", "start"], "left").withColumn("digest", F.coalesce("digest", "healed"))
     response = F.col("record_type") == "response"
-    return records.select(
+    out_rows = records.select(
         "page_id",
         F.when(response, F.col("size") - http).otherwise(F.col("noted_bytes")).alias("payload_bytes"),
         F.when(response, F.col("digest")).otherwise(F.col("noted")).alias("payload_digest"),
         "record_type", "refers_to",
         F.when(response, (F.col("digest") == F.col("noted")) & (F.col("size") - http == F.col("noted_bytes"))).alias("sound"),
     )
+    done, _ = materialise(out_rows, "records", "zstd")
+    for path in paths:
+        discard(spark, path)
+    return done
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write the pages' archives to the shared folder and read them back."""
+    """Write the pages' archives to the shared folder, read them back and delete them."""
     spark = pages.sparkSession
     out = scratch_path(spark, "warc")
     write(pages, out)
-    return read(spark, out)
+    records = read(spark, out)
+    discard(spark, out)
+    return records

@@ -54,6 +54,14 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write one file through Hadoop's file system API."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
+    stream.write(data)
+    stream.close()
+
+
 def materialise(df: DataFrame, label: str, codec: str = "snappy") -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet to the shared folder and read it back: a cut of lineage that survives lost executors.
 
