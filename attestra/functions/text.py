@@ -229,10 +229,17 @@ def role_text(section_map: Column, pattern: str) -> Column:
 
 
 def shingles(text: Column, width: int = FIVE) -> Column:
-    """Distinct character n-grams of the letters and digits, lower-cased; the whole if it is shorter."""
+    """Distinct character n-grams of the letters and digits, lower-cased; the whole if it is shorter.
+
+    One pass of a look-ahead finds them all. Texts with characters beyond 16 bits, which a look-ahead would halve, are cut
+    into characters first; the cut is bound to a lambda, so that it is made once a text.
+    """
     t = F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}]+", "")
-    starts = F.sequence(F.lit(1), F.greatest(F.length(t) - width + 1, F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(t, i, F.lit(width))))
+    fast = F.regexp_extract_all(t, F.lit(f"(?=(.{{{width}}}))"), F.lit(1))
+    at = lambda c: F.sequence(F.lit(1), F.size(c) - width + 1)
+    slow = F.transform(F.array(F.split(t, "")), lambda c: F.transform(at(c), lambda i: F.array_join(F.slice(c, i, F.lit(width)), "")))[0]
+    wide = t.rlike("[\\x{10000}-\\x{10FFFF}]")
+    return F.when(F.length(t) < width, F.array(t)).when(wide, F.array_distinct(slow)).otherwise(F.array_distinct(fast))
 
 
 def overlap(left: Column, right: Column) -> Column:

@@ -87,17 +87,21 @@ def content_identity(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", h.alias("content_hash"), I.asset_id(h).alias("asset_id"))
 
 
-@query("select sha256(text) as h, count(*)::bigint as copies, min(doc_id) as first_id from documents group by 1 having count(*) > 1")
+@query("select 'sha256:' || sha256(text) as h, count(*)::bigint as copies, min(doc_id) as first_id from documents group by 1 having count(*) > 1")
 def exact_duplicate_groups(spark, sf_dir):
-    """Groups of equal texts."""
-    g = table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"))
+    """Groups of equal content hashes."""
+    g = table(spark, sf_dir, "documents").groupBy(I.content_hash(F.col("text")).alias("h")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"))
     return g.where("copies > 1")
 
 
-@query("select md5(lower(regexp_replace(text, '[^A-Za-z0-9]+', '', 'g'))) as h, count(*)::bigint as copies, min(doc_id) as first_id from documents group by 1 having count(*) > 1")
+#: What a fingerprint drops, in the SQL's classes.
+_NO_WORD = "[^\\p{L}\\p{M}\\p{Nl}\\p{Nd}\\p{Pc}]+"
+
+
+@query(f"select md5(lower(regexp_replace(text, '{_NO_WORD}', '', 'g'))) as h, count(*)::bigint as copies, min(doc_id) as first_id from documents group by 1 having count(*) > 1")
 def fingerprint_duplicates(spark, sf_dir):
-    """Groups of texts that are equal in their ASCII letters and digits."""
-    key = F.md5(F.lower(F.regexp_replace("text", "[^A-Za-z0-9]+", "")))
+    """Groups of texts whose fingerprints are equal."""
+    key = F.md5(T.fingerprint(F.col("text")))
     return table(spark, sf_dir, "documents").groupBy(key.alias("h")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
 
 
@@ -106,14 +110,8 @@ c as (select doc_id, term, count(*) as n, min(pos) as first from t where term no
 r as (select *, row_number() over (partition by doc_id order by n desc, first) as rank from c)"""
 
 
-@query(f"with {_TERMS} select term, count(distinct doc_id)::bigint as df from r where rank <= 220 group by term having count(distinct doc_id) >= 20")
-def term_document_frequency(spark, sf_dir):
-    """In how many documents a term is among the 220 most frequent; those of 20 or more. term_document_frequency_all has all."""
-    return term_document_frequency_all(spark, sf_dir).where("df >= 20")
-
-
 @query(f"with {_TERMS} select term, count(distinct doc_id)::bigint as df from r where rank <= 220 group by term")
-def term_document_frequency_all(spark, sf_dir):
+def term_document_frequency(spark, sf_dir):
     """In how many documents a term is among the 220 most frequent, for every term."""
     return R.document_frequency(R.top_terms(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
@@ -207,14 +205,11 @@ def raw_page_signals(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", W.looks_like_login(h, none).alias("login"), W.looks_like_challenge(h, none).alias("challenge"), F.contains(F.lower(h), F.lit("<script")).alias("script"))
 
 
-@query("""with k as (select *, lower(regexp_replace(text, '[^A-Za-z0-9]+', '', 'g')) as print from conversations where text <> ''),
+@query(f"""with k as (select *, lower(regexp_replace(text, '{_NO_WORD}', '', 'g')) as print from conversations where text <> ''),
 l as (select *, lag(print) over (partition by conv_id order by turn) as before from k) select conv_id, turn from l where print = '' or print is distinct from before""")
 def conversation_dedup(spark, sf_dir):
     """Turns that don't repeat the one before."""
-    c = table(spark, sf_dir, "conversations").withColumn("key", F.regexp_replace("text", "[^A-Za-z0-9]+", ""))
-    c = c.where("text <> ''").withColumn("print", F.lower("key"))
-    before = F.lag("print").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return c.withColumn("before", before).where((F.col("print") == "") | ~F.col("print").eqNullSafe(F.col("before"))).select("conv_id", "turn")
+    return S.drop_repeats(table(spark, sf_dir, "conversations"), "conv_id", ["turn"], cleaned=False).select("conv_id", "turn")
 
 
 @query()
@@ -227,16 +222,22 @@ def conversation_paragraphs(spark, sf_dir):
     return p.select("conv_id", "paragraph_id", "start_time", "end_time", F.length("text").alias("n_chars"), F.size("segment_ids").alias("segments"))
 
 
-@query("""select conv_id, bool_and(turn > coalesce(before, -1)) as in_order, sum(length(text))::bigint as chars, max(before_chars)::bigint as last_offset from (select *, lag(turn) over w as before,
-  coalesce(sum(length(text)) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as before_chars from conversations window w as (partition by conv_id order by turn)) group by 1""")
+@query("""with s as (select *, turn * 10.0 as b, turn * 10.0 + length(text) - 40 as e from conversations),
+l as (select *, lag(b) over (partition by conv_id order by turn) as before from s)
+select conv_id, not bool_or(coalesce(b < before or e <= b, false)) as in_order, md5(string_agg(text, '' order by turn)) as text_md5 from l group by 1""")
 def conversation_turn_order(spark, sf_dir):
-    """Order of turns and running offsets."""
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    n = F.length("text")
-    c = table(spark, sf_dir, "conversations").withColumns(
-        {"before": F.lag("turn").over(order), "n": n, "offset": F.coalesce(F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))}
-    )
-    return c.groupBy("conv_id").agg(F.bool_and(F.col("turn") > F.coalesce("before", F.lit(-1))).alias("in_order"), F.sum("n").alias("chars"), F.max("offset").alias("last_offset"))
+    """Whether a conversation's turns as segments are in order, and their text as one (analogue: ends by text length)."""
+    c = table(spark, sf_dir, "conversations").withColumns({"pos": F.col("turn"), "start": F.col("turn") * 10.0, "end": F.col("turn") * 10.0 + F.length("text") - 40})
+    whole = S.merged_text(c, "conv_id").select("conv_id", F.md5("text").alias("text_md5"))
+    return S.in_order(c, "conv_id", "start", "end", "pos").join(whole, "conv_id")
+
+
+@query("""with l as (select conv_id, list_sort(list(length(text)::double)) as v from conversations group by 1)
+select conv_id, v[greatest(1, ceil(len(v) * 0.5))::int] as p50, v[greatest(1, ceil(len(v) * 0.95))::int] as p95 from l""")
+def turn_length_percentiles(spark, sf_dir):
+    """Nearest-rank percentiles of the lengths of a conversation's turns."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.length("text").cast("double")).alias("v"))
+    return c.select("conv_id", T.percentile_of(F.col("v"), 0.5).alias("p50"), T.percentile_of(F.col("v"), 0.95).alias("p95"))
 
 
 @query("""with i as (select user_id, epoch_us(ts) as s, least(epoch_us(lead(ts) over (partition by user_id order by ts, event_id)), epoch_us(ts) + 3600000000) as e from events),
@@ -255,7 +256,11 @@ def event_interval_coverage(spark, sf_dir):
 def event_log_lookup(spark, sf_dir):
     """Log lookup by type, reference and time."""
     e = table(spark, sf_dir, "events")
-    return e.where((F.col("event_type") == "purchase") & (F.col("user_id") == 7) & (F.col("ts") >= F.lit("2024-01-10").cast("timestamp"))).select("event_id", "user_id")
+    none = F.lit(None).cast("array<string>")
+    log = e.withColumns({c: none for c in M.REFERENCE_COLUMNS}).withColumns(
+        {"output_refs": F.array(F.concat(F.lit("user:"), F.col("user_id"))), "operation_type": F.col("event_type"), "started_at": F.date_format("ts", "yyyy-MM-dd HH:mm:ss")}
+    )
+    return M.find_operations(log, "user:7", "purchase", "2024-01-10 00:00:00").select("event_id", "user_id")
 
 
 @query("select user_id, arg_max(event_type, {'t': ts, 'e': event_id}) as last_type, max(ts) as last_ts from events group by 1")
@@ -296,65 +301,47 @@ def hash_mismatch(spark, sf_dir):
     return M.hash_mismatches(r, p).groupBy(F.col("l_returnflag").alias("flag")).agg(F.count("*").alias("n"))
 
 
-@query("""select o.o_orderkey as target, c.c_custkey as source from orders o join customer c on o.o_custkey = c.c_custkey where c.c_acctbal > 0
-  and not exists (select 1 from lineitem l where l.l_orderkey = o.o_orderkey and l.l_returnflag = 'R')""")
+@query("""select 'm' || c_custkey as source_asset_id, 'o' || o_orderkey as target_asset_id, o_orderkey % 25 = c_nationkey as exact from orders join customer on o_custkey = c_custkey
+where c_acctbal > 0 and o_orderstatus <> 'F' and starts_with('r' || (o_orderkey % 25), 'r' || c_nationkey)""")
 def structural_links(spark, sf_dir):
-    """Derived rows linked to their source unless a relation exists: orders to customers without returns (analogue)."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("target"), F.col("o_custkey").alias("source"))
-    c = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("source"))
-    had = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("target"))
-    return o.join(c, "source").join(had, "target", "left_anti")
-
-
-_EDGES = "e as (select distinct l_partkey as p, 1000000 + l_suppkey as s from lineitem where l_quantity = 1)"
-
-
-@query(f"with {_EDGES}, d as (select p as node from e union all select s from e) select node, count(*)::bigint as degree from d group by 1")
+    """source_of candidates: orders as assets derived from customers at a revision, finished ones related already (analogue)."""
+    text = lambda head, c: F.concat(F.lit(head), F.col(c).cast("string"))
+    c = table(spark, sf_dir, "customer").select(text("m", "c_custkey").alias("asset_id"), (F.col("c_acctbal") > 0).alias("eligible"), F.lit("source").alias("asset_class"), text("r", "c_nationkey").alias("revision"), F.create_map().cast("map<string,string>").alias("frontmatter"))
+    o = table(spark, sf_dir, "orders").withColumns({"source": text("m", "o_custkey"), "asset_id": text("o", "o_orderkey"), "seen": F.concat(F.lit("r"), (F.col("o_orderkey") % 25).cast("string"))})
+    reference = F.concat(F.lit("vault://material/"), "source", F.lit("/revision/"), "seen")
+    front = F.create_map(F.lit("source_asset"), "source", F.lit("source_revision"), "seen", F.lit("source_reference"), reference)
+    derived = o.select("asset_id", F.lit(True).alias("eligible"), F.lit("derived").alias("asset_class"), F.lit("x").alias("revision"), front.alias("frontmatter"))
+    had = o.where("o_orderstatus = 'F'").select(F.col("source").alias("source_asset_id"), F.col("asset_id").alias("target_asset_id"), F.lit("source_of").alias("relation_type"), F.lit("derived_from").alias("reciprocal_relation"), F.lit("executed").alias("approval_status"))
+    out = R.structural_candidates(c.unionByName(derived), had, "vault")
+    return out.select("source_asset_id", "target_asset_id", F.array_contains("evidence_kinds", "revision_match").alias("exact"))
+
+
+@query("select node, count(*)::bigint as degree from (select distinct l_partkey as p, -1 - l_suppkey as s from lineitem) unpivot (node for side in (p, s)) group by 1")
 def endpoint_degree(spark, sf_dir):
-    """Degrees in the graph of parts and suppliers of line items of quantity 1; endpoint_degree_all has the whole graph."""
+    """Degrees in the graph of parts and suppliers."""
     return _edges(spark, sf_dir).select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
 
 
 def _edges(spark, sf_dir) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_quantity = 1")
-    return li.select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1000000).alias("dst")).distinct()
-
-
-@query(f"""with recursive {_EDGES}, n as (select p as id from e union select s from e), l as (select p as a, s as b from e union select s, p from e),
-reach(id, other) as (select id, id from n union select r.id, l.b from reach r join l on r.other = l.a), c as (select id, min(other) as component from reach group by 1)
-select component, count(*)::bigint as size from c group by 1""")
-def components(spark, sf_dir):
-    """Connected components of that graph of quantity 1, by size; components_all has the whole graph."""
-    return connected_components(_edges(spark, sf_dir)).groupBy("component").agg(F.count("*").alias("size"))
-
-
-def _all_edges(spark, sf_dir) -> DataFrame:
     """Every part and supplier that a line item joins; suppliers are negative, so that they are no part's id at any size."""
     return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (-1 - F.col("l_suppkey")).alias("dst")).distinct()
 
 
-@query("""with e as (select distinct l_partkey as p, -1 - l_suppkey as s from lineitem), d as (select p as node from e union all select s from e)
-select node, count(*)::bigint as degree from d group by 1""")
-def endpoint_degree_all(spark, sf_dir):
-    """Degrees in the whole graph of parts and suppliers."""
-    return _all_edges(spark, sf_dir).select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-
-
 @query()
-def components_all(spark, sf_dir):
-    """Connected components of the whole graph, by size; a recursive SQL is too slow there."""
-    return connected_components(_all_edges(spark, sf_dir)).groupBy("component").agg(F.count("*").alias("size"))
+def components(spark, sf_dir):
+    """Connected components of that graph, by size; a recursive SQL is too slow on it, a test holds it against brute force."""
+    return connected_components(_edges(spark, sf_dir)).groupBy("component").agg(F.count("*").alias("size"))
 
 
-@query("""with s as (select distinct c_custkey as id from customer), e as (select distinct o_custkey as a, (o_custkey * 7 + 1) % 1500 as b, 1 as k from orders where o_orderstatus = 'F'),
+@query("""with s as (select distinct c_custkey as id from customer), e as (select distinct o_custkey as a, (o_custkey * 7 + 1) % 1500 as b, 1 as k from orders),
 x as (select a, b from e where a in (select id from s) and b in (select id from s)), p as (select distinct least(a, b) as a, greatest(a, b) as b from x where a <> b),
 d as (select id, count(p.a) as n from s left join p on id in (p.a, p.b) group by 1)
-select count(*)::bigint as nodes, (select count(*) from x)::bigint as relations, count(*) filter (n = 0)::bigint as isolated, max(n)::bigint as max_degree, max(n) >= greatest(6.0, 0.6 * count(*)) as hub_warning from d""")
+select count(*)::bigint as nodes, (select count(*) from x)::bigint as relations, count(*) filter (n = 0)::bigint as isolated, avg(n) as average_degree, max(n)::bigint as max_degree, max(n) >= greatest(6.0, 0.6 * count(*)) as hub_warning from d""")
 def graph_summary(spark, sf_dir):
     """Graph measures of a made graph of customers (analogue)."""
-    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("source_asset_id"), ((F.col("o_custkey") * 7 + 1) % 1500).alias("target_asset_id")).distinct()
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source_asset_id"), ((F.col("o_custkey") * 7 + 1) % 1500).alias("target_asset_id")).distinct()
     g = R.graph_metrics(o.withColumn("approval_status", F.lit("executed")), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("asset_id")))
-    return g.select("nodes", "relations", "isolated", "max_degree", "hub_warning")
+    return g.select("nodes", "relations", "isolated", "average_degree", "max_degree", "hub_warning")
 
 
 @query()
@@ -365,16 +352,27 @@ def overlink_quota(spark, sf_dir):
     return R.quota(s).select("source_asset_id", "target_asset_id", "kept")
 
 
-@query("""select case when c.c_custkey is null or l.k is null then 'needs_review' when c.c_acctbal < 0 then 'conflict' when l.n > 4 then 'healthy' else 'repair_candidate' end as status, count(*)::bigint as n
-from orders o left join customer c on o.o_custkey = c.c_custkey and c.c_mktsegment <> 'BUILDING' left join (select l_orderkey as k, count(*) as n from lineitem group by 1) l on l.k = o.o_orderkey group by 1""")
+@query("""with a as (select c_custkey as k, (c_nationkey % 2)::varchar as revision, (c_nationkey % 3)::varchar as hash, c_mktsegment as line, c_nationkey::varchar as n from customer where c_acctbal > -500),
+j as (select o.*, s.k as sk, t.k as tk, coalesce(s.revision <> (o_orderkey % 2)::varchar or t.revision <> '1', false) as changed, s.line = 'BUILDING' and t.line <> 'BUILDING' as both,
+  left(o_orderpriority, 1) in (select left(o_orderpriority, 1) from orders where o_orderstatus = 'F') and s.hash = '1' and t.hash = '1' as proven,
+  contains(s.n, left(o_orderpriority, 1)) or contains(t.n, left(o_orderpriority, 1)) as marked
+  from orders o left join a s on s.k = o_custkey left join a t on t.k = (o_custkey * 7 + 1) % 1500)
+select status, count(*)::bigint as n from (select case when sk is null or tk is null then 'needs_review' when changed and both and proven then 'verified' when changed then 'needs_review'
+  when both then 'healthy' when marked then 'conflict' else 'repair_candidate' end as status from j) group by 1""")
 def audit_ladder(spark, sf_dir):
-    """Left joins and an ordered ladder of states (analogue of the registry audit)."""
-    c = table(spark, sf_dir, "customer").where("c_mktsegment <> 'BUILDING'").select("c_custkey", "c_acctbal")
-    n = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n"))
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    j = o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").join(n, F.col("o_orderkey") == F.col("k"), "left")
-    s = F.when(F.col("c_custkey").isNull() | F.col("k").isNull(), "needs_review").when(F.col("c_acctbal") < 0, "conflict").when(F.col("n") > 4, "healthy").otherwise("repair_candidate")
-    return j.groupBy(s.alias("status")).agg(F.count("*").alias("n"))
+    """The registry audit: orders as relations of two customers, market segments as their lines (analogue)."""
+    text = lambda c: c.cast("string")
+    c = table(spark, sf_dir, "customer").where("c_acctbal > -500")
+    line = F.concat("c_mktsegment", F.when(F.col("c_mktsegment") == "BUILDING", "").otherwise("~"), text(F.col("c_nationkey")))
+    assets = c.select(text(F.col("c_custkey")).alias("asset_id"), text(F.col("c_nationkey") % 2).alias("revision"), text(F.col("c_nationkey") % 3).alias("file_hash"), line.alias("text"))
+    o = table(spark, sf_dir, "orders")
+    registry = o.select(
+        F.col("o_orderkey").alias("relation_id"), F.lit("executed").alias("approval_status"), F.left("o_orderpriority", F.lit(1)).alias("mark"),
+        text(F.col("o_custkey")).alias("source_asset_id"), text((F.col("o_custkey") * 7 + 1) % 1500).alias("target_asset_id"),
+        text(F.col("o_orderkey") % 2).alias("source_revision"), F.lit("1").alias("target_revision"), F.lit("BUILDING").alias("source_line"), F.lit("~").alias("target_line"),
+    )
+    receipts = o.where("o_orderstatus = 'F'").select(F.left("o_orderpriority", F.lit(1)).alias("candidate_id"), F.lit("p").alias("path"), F.lit("1").alias("source_hash"), F.lit("1").alias("target_hash"))
+    return R.audit(registry.withColumnRenamed("mark", "candidate_id"), assets, receipts).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query("""with a as (select l_partkey, l_orderkey, l_linenumber, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber) as f, row_number() over (partition by l_partkey order by l_orderkey desc, l_linenumber desc) as l from lineitem)

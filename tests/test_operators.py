@@ -46,14 +46,14 @@ def test_whole_graph(spark, tmp_path):
     size = {c: list(link.values()).count(c) for c in link.values()}
     degree = {v: sum(v in e for e in edges) for v in link}
     got = entry.queries()
-    assert {r["node"]: r["degree"] for r in got["endpoint_degree_all"](spark, str(tmp_path)).collect()} == degree
-    assert {r["component"]: r["size"] for r in got["components_all"](spark, str(tmp_path)).collect()} == size
+    assert {r["node"]: r["degree"] for r in got["endpoint_degree"](spark, str(tmp_path)).collect()} == degree
+    assert {r["component"]: r["size"] for r in got["components"](spark, str(tmp_path)).collect()} == size
 
 
 def test_all_document_frequencies(spark, tmp_path):
     rows = [(i, "shared " + f"word{i} word{i}") for i in range(25)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["term"]: r["df"] for r in entry.queries()["term_document_frequency_all"](spark, str(tmp_path)).collect()}
+    got = {r["term"]: r["df"] for r in entry.queries()["term_document_frequency"](spark, str(tmp_path)).collect()}
     assert got == {"shared": 25} | {f"word{i}": 1 for i in range(25)}
 
 
