@@ -125,7 +125,6 @@ def test_pack_round_trip(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rows = [(1, "hello  world \n\n x", "a", ""), (2, None, "a", ""), (3, "", None, ""), (4, "çé ü <|endoftext|> " * 400, "b", ""), (4, "z", "b", "")]
     docs = spark.createDataFrame(rows, DOCS)
     pieces = packing.pack(docs, window=64).collect()
