@@ -353,12 +353,12 @@ def overlink_quota(spark, sf_dir):
 
 
 @query("""with a as (select c_custkey as k, (c_nationkey % 2)::varchar as revision, (c_nationkey % 3)::varchar as hash, c_mktsegment as line, c_nationkey::varchar as n from customer where c_acctbal > -500),
-j as (select o.*, s.k as sk, t.k as tk, coalesce(s.revision <> (o_orderkey % 2)::varchar or t.revision <> '1', false) as changed, s.line = 'BUILDING' and t.line <> 'BUILDING' as both,
+j as (select o.*, s.k as sk, t.k as tk, coalesce(s.revision <> (o_orderkey % 2)::varchar or t.revision <> '1', false) as changed, s.line = 'BUILDING' and t.line <> 'BUILDING' as held,
   left(o_orderpriority, 1) in (select left(o_orderpriority, 1) from orders where o_orderstatus = 'F') and s.hash = '1' and t.hash = '1' as proven,
   contains(s.n, left(o_orderpriority, 1)) or contains(t.n, left(o_orderpriority, 1)) as marked
   from orders o left join a s on s.k = o_custkey left join a t on t.k = (o_custkey * 7 + 1) % 1500)
-select status, count(*)::bigint as n from (select case when sk is null or tk is null then 'needs_review' when changed and both and proven then 'verified' when changed then 'needs_review'
-  when both then 'healthy' when marked then 'conflict' else 'repair_candidate' end as status from j) group by 1""")
+select status, count(*)::bigint as n from (select case when sk is null or tk is null then 'needs_review' when changed and held and proven then 'verified' when changed then 'needs_review'
+  when held then 'healthy' when marked then 'conflict' else 'repair_candidate' end as status from j) group by 1""")
 def audit_ladder(spark, sf_dir):
     """The registry audit: orders as relations of two customers, market segments as their lines (analogue)."""
     text = lambda c: c.cast("string")
