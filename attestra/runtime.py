@@ -10,6 +10,10 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's setting for the removal of a finished query's shuffle files.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def session(app: str = "attestra", cores: str = "*", partitions: int = 8) -> SparkSession:
     """A local session with the settings the queries expect (UTC, AQE)."""
     return (
@@ -65,11 +69,17 @@ def put(spark: SparkSession, path: str, data: bytes) -> None:
 def materialise(df: DataFrame, label: str, codec: str = "snappy") -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet to the shared folder and read it back: a cut of lineage that survives lost executors.
 
-    Returns the DataFrame and its path, which the caller may ``discard`` once nothing reads it.
+    Returns the DataFrame and its path, which the caller may ``discard`` once nothing reads it. The shuffle files of the
+    write go when it ends, not when the driver next collects its garbage; what is written no longer needs them.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.option("compression", codec).parquet(path)
+    old = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, old)
     return spark.read.schema(df.schema).parquet(path), path
 
 
