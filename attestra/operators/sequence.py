@@ -164,3 +164,11 @@ def first_or_last(rows: DataFrame, key: str | list[str], order: list[Column], la
     by = [c.desc() for c in order] if last else [c.asc() for c in order]
     keys = [key] if isinstance(key, str) else key
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where("place = 1").drop("place")
+
+
+def segment_measures(segments: DataFrame, key: str) -> DataFrame:
+    """(key, n, longest, p95, empty_ratio) of segments: durations by nearest rank; a segment without visible text is empty."""
+    d = segments.withColumns({"d": F.col("end_time") - F.col("start_time"), "blank": F.btrim(F.coalesce("text", F.lit(""))) == ""})
+    return d.groupBy(key).agg(
+        F.count("*").alias("n"), F.max("d").alias("longest"), F.expr("percentile_disc(0.95) within group (order by d)").alias("p95"), F.avg(F.col("blank").cast("double")).alias("empty_ratio")
+    )

@@ -125,9 +125,9 @@ def top_terms_per_document(spark, sf_dir):
 @query(f"""with {_TERMS}, u as (select doc_id, term from r where rank <= 220), k as (select count(distinct doc_id) as n from u),
 f as (select term, count(*) as df from u group by 1), w as (select term, 1 + ln((n + 1) / df) as weight from f, k where df >= 2 and df <= greatest(12, floor(sqrt(n) * 4))),
 p as (select u.*, w.weight from u join w using (term)),
-s as (select a.doc_id as a, b.doc_id as b, round(sum(a.weight), 3) as score from p a join p b on a.term = b.term and a.doc_id < b.doc_id group by 1, 2),
+s as (select a.doc_id as a, b.doc_id as b, round(sum(a.weight), 9) as score from p a join p b on a.term = b.term and a.doc_id < b.doc_id group by 1, 2),
 e as (select a, b, score, unnest([a, b]) as e from s), q as (select *, row_number() over (partition by e order by score desc, a, b) as rank from e)
-select distinct a as asset_a, b as asset_b, score as retrieval_score from q where rank <= 12""")
+select distinct a as asset_a, b as asset_b, round(score, 3) as retrieval_score from q where rank <= 12""")
 def related_document_pairs(spark, sf_dir):
     """Documents related by shared terms: the twelve best of each."""
     return entry(spark, sf_dir).select("asset_a", "asset_b", "retrieval_score")
@@ -336,7 +336,7 @@ def components(spark, sf_dir):
 @query("""with s as (select distinct c_custkey as id from customer), e as (select distinct o_custkey as a, (o_custkey * 7 + 1) % 1500 as b, 1 as k from orders),
 x as (select a, b from e where a in (select id from s) and b in (select id from s)), p as (select distinct least(a, b) as a, greatest(a, b) as b from x where a <> b),
 d as (select id, count(p.a) as n from s left join p on id in (p.a, p.b) group by 1)
-select count(*)::bigint as nodes, (select count(*) from x)::bigint as relations, count(*) filter (n = 0)::bigint as isolated, avg(n) as average_degree, max(n)::bigint as max_degree, max(n) >= greatest(6.0, 0.6 * count(*)) as hub_warning from d""")
+select count(*)::bigint as nodes, (select count(*) from x)::bigint as relations, count(*) filter (n = 0)::bigint as isolated, round(avg(n), 3) as average_degree, max(n)::bigint as max_degree, max(n) >= greatest(6.0, 0.6 * count(*)) as hub_warning from d""")
 def graph_summary(spark, sf_dir):
     """Graph measures of a made graph of customers (analogue)."""
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source_asset_id"), ((F.col("o_custkey") * 7 + 1) % 1500).alias("target_asset_id")).distinct()

@@ -120,3 +120,23 @@ def put_object(root: str, value: bytes) -> str:
     else:
         atomic_write(path, value)
     return f"sha256:{digest}"
+
+
+def load_json(path: str) -> dict:
+    """A small JSON document on the driver; its root must be an object."""
+    with open(path, encoding="utf-8") as f:
+        value = json.load(f)
+    if not isinstance(value, dict):
+        raise ValueError(f"JSON object required: {path}")
+    return value
+
+
+def load_collection(spark: SparkSession, path: str, protocol: str, collection: str, schema: str) -> DataFrame:
+    """The rows of a persisted pool, queue or registry; no file gives no rows, another protocol or no list is an error."""
+    if not os.path.exists(path):
+        return spark.createDataFrame([], schema)
+    whole = spark.read.schema(f"protocol string, {collection} array<struct<{', '.join(':'.join(f.split(' ', 1)) for f in schema.split(', '))}>>").option("multiLine", True).json(path)
+    head = whole.select("protocol", F.col(collection).isNotNull().alias("listed")).limit(2).collect()  # one row a file
+    if len(head) != 1 or head[0]["protocol"] != protocol or not head[0]["listed"]:
+        raise ValueError(f"{protocol} is required")
+    return whole.select(F.inline(collection))
