@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import mixing, near_vectors, ngram_jaccard, packing, preference, routed_search, rules, toxicity, url_filter, warc
+from attestra.llm import collocations, fill_middle, mixing, near_vectors, ngram_jaccard, packing, preference, routed_search, rules, suffix_tree, toxicity, url_filter, warc
 from attestra.llm.labelled import fold
 from attestra.runtime import table
 
@@ -85,11 +85,30 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 2000 phrases of 2 to 3 words of each language of all documents."""
+    return collocations.collocations(table(spark, sf_dir, "documents"), max_words=3, least=10, top=2000, within=50)
+
+
+def op12_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log probability, learned from four of five folds."""
+    return suffix_tree.score(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) != 1)
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut and put together again, as digests."""
+    out = fill_middle.transform(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    again = fill_middle.restore(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(again).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_embedding_near_dedup, op2_preference_format, op3_source_mix, op4_routed_search, op5_url_filter,
         op6_ngram_jaccard, op7_pack, op8_toxicity, op9_quality_rules, op10_warc,
+        op11_collocations, op12_suffix_tree, op13_fill_middle,
     )
 }
 
@@ -165,4 +184,28 @@ f as (select digest, min(page_id) as first from p where n >= 100 group by 1)
 select p.page_id, p.n::bigint as payload_bytes, p.digest as payload_digest,
   case when f.first < p.page_id then 'revisit' else 'response' end as record_type, case when f.first < p.page_id then f.first end as refers_to
 from p left join f on p.digest = f.digest and p.n >= 100""",
+    "op11_collocations": r"""
+with d as (select coalesce(lang, 'und') as lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') as pieces from documents),
+p as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from (select lang, unnest(pieces) as piece from d)),
+g as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase from p, (values (1), (2), (3)) as ks(k)),
+f as (select lang, k, phrase, count(*) as f from g group by all),
+t as (select lang, sum(f)::bigint as n from f where k = 1 group by 1),
+c as (select lang, k, phrase, f as a, string_split(phrase, ' ') as w from f where k >= 2 and f >= 10),
+x as (select c.*, j, array_to_string(w[1:j], ' ') as head, array_to_string(w[j + 1:], ' ') as tail from c, (values (1), (2)) as js(j) where j < k),
+s as (select x.lang, x.k, x.phrase, x.a, j, h.f as l, e.f as r, (1000000::hugeint * a * a // (h.f::hugeint * e.f))::bigint as score
+      from x join f h on h.lang = x.lang and h.phrase = x.head join f e on e.lang = x.lang and e.phrase = x.tail),
+b as (select *, row_number() over (partition by lang, phrase order by score, j) as pick from s),
+o as (select lang, phrase, max(a) as outer_a from (select lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) as phrase from c where k = 3) group by 1, 2),
+z as (select b.lang, b.phrase, a, l, r, score, row_number() over (partition by b.lang order by score desc, a desc, b.phrase) as rank
+      from b left join o on o.lang = b.lang and o.phrase = b.phrase and b.k = 2 where pick = 1 and (outer_a is null or 100 * outer_a < 50 * a))
+select z.lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, t.n, score from z join t on t.lang = z.lang where rank <= 2000""",
+    "op13_fill_middle": """
+with d as (select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+h as (select doc_id, t, length(t)::bigint as n, ('0x' || substr(h, 1, 8))::bigint as h1, ('0x' || substr(h, 9, 8))::bigint as h2, ('0x' || substr(h, 17, 8))::bigint as h3, ('0x' || substr(h, 25, 8))::bigint as h4 from d),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as one, greatest(h1 % (n + 1), h2 % (n + 1)) as two,
+        case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from h),
+o as (select *, substr(t, 1, one) as pre, substr(t, one + 1, two - one) as mid, substr(t, two + 1) as suf from c)
+select doc_id, n, form, case when form <> 'plain' then one end as prefix_chars, case when form <> 'plain' then two - one end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256, sha256(t) as restored_sha256
+from o""",
 }
