@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words of a shard, and keys of a bucket, at most about.
-SHARD_WORDS = 1_250_000
+SHARD_WORDS = 1_000_000
 BUCKET_KEYS = 1_250_000
 
 _ODD1, _ODD2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
