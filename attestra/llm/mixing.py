@@ -137,11 +137,12 @@ def draw(
     for path in paths:
         discard(spark, path)
     held = F.broadcast(cuts) if cuts.count() <= BROADCAST_SOURCES else cuts
-    rows = docs.where(F.col(text_col).rlike(WORD)).join(held, docs[source_col].eqNullSafe(cuts["mixed_source"]))
-    n = F.when(_order(docs[id_col]) <= F.col("mixed_most")["h"], F.col("mixed_most")["n"]).otherwise(F.col("mixed_least"))
-    rows = rows.withColumn("mixed_times", n).where("mixed_times > 0")
-    rows = rows.withColumn("mixed_copy", F.explode(F.sequence(F.lit(1), F.col("mixed_times"))))
-    return rows.select(*[docs[c] for c in docs.columns])
+    # the row travels as one column, so no name of its columns can clash with those of the mix
+    rows = docs.where(F.col(text_col).rlike(WORD)).select(F.struct("*").alias("row"), F.col(source_col).alias("source"), _order(F.col(id_col)).alias("h"))
+    rows = rows.join(held, rows["source"].eqNullSafe(held["mixed_source"]))
+    n = F.when(F.col("h") <= F.col("mixed_most")["h"], F.col("mixed_most")["n"]).otherwise(F.col("mixed_least"))
+    rows = rows.select("row", n.alias("n")).where("n > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
 
 
 def _order(id_: Column) -> Column:

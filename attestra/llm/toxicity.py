@@ -48,26 +48,33 @@ def tokens(text: str | None) -> list[str]:
 def segments(positions: list[int], scores: list[float], cost: float) -> list[tuple[int, int, float]]:
     """All maximal segments (first token, last token, score) of a text whose tokens at ``positions`` have ``scores``, all others -cost.
 
-    Linear in the number of scored tokens: a stack of candidate segments with the running total before and after each.
+    Linear in the number of scored tokens: a stack of candidates (left, right, total before, total after, the nearest
+    candidate below with a smaller total before). Below a candidate only those named can be joined to it, so a search
+    follows them; where none begins lower than a new candidate, all on the stack are final and leave it.
     """
-    stack: list[list[float]] = []  # left, right, total before, total after
+    done: list[tuple[int, int, float]] = []
+    stack: list[tuple[int, int, float, float, int]] = []
     total, last = 0.0, -1
     for p, s in zip(positions, scores, strict=True):
         total -= cost * (p - last - 1)
         before, total, last = total, total + s, p
         if s <= 0:
             continue
-        left = float(p)
+        left, k = p, len(stack) - 1
         while True:
-            k = len(stack) - 1
             while k >= 0 and stack[k][2] >= before:
-                k -= 1
-            if k < 0 or stack[k][3] >= total:
-                stack.append([left, float(p), before, total])
+                k = stack[k][4]
+            if k < 0:
+                done += [(a, b, after - ahead) for a, b, ahead, after, _ in stack]
+                stack = [(left, p, before, total, -1)]
                 break
-            left, before = stack[k][0], stack[k][2]
+            if stack[k][3] >= total:
+                stack.append((left, p, before, total, k))
+                break
+            left, before, down = stack[k][0], stack[k][2], stack[k][4]
             del stack[k:]
-    return [(int(a), int(b), after - ahead) for a, b, ahead, after in stack]
+            k = down
+    return done + [(a, b, after - ahead) for a, b, ahead, after, _ in stack]
 
 
 def passages(words: list[str], model: Model) -> list[tuple[int, int, float]]:
@@ -144,7 +151,6 @@ def fit(
     use: Column,
     label: str = "toxic",
     max_rows: int = 20_000,
-    max_tokens: int = 5_000,
     min_odds: float = 1.0,
     against: float = 1.0,
     prior: float = 1.0,
@@ -153,19 +159,19 @@ def fit(
 ) -> Model:
     """Learn from at most ``max_rows`` labelled documents for which ``use`` holds.
 
-    The model is sparse: of the ``max_tokens`` most significant tokens those that stay significant by their contexts,
-    in favour with odds of ``min_odds`` nats; a token weighs no more than ``against`` against. With no labelled row of
+    The model is sparse: of the significant tokens those that stay significant by their contexts, in favour with odds of
+    ``min_odds`` nats; its size is bounded by the sample's. A token weighs no more than ``against`` against. With no labelled row of
     one of the labels nothing is significant and every text scores the share of label 1.
     """
     spark = docs.sparkSession
     with small_batches(spark, 500):
         rows, rows_path = materialise(sample(docs, labels, label, use, max_rows).where("text is not null"), "labelled", "zstd")
-        model = _learn(rows, max_tokens, min_odds, against, prior, cost, significant)
+        model = _learn(rows, min_odds, against, prior, cost, significant)
     discard(spark, rows_path)
     return model
 
 
-def _learn(rows: DataFrame, max_tokens: int, min_odds: float, against: float, prior: float, cost: float, significant: float) -> Model:
+def _learn(rows: DataFrame, min_odds: float, against: float, prior: float, cost: float, significant: float) -> Model:
     spark = rows.sparkSession
     by = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     docs1, docs0 = float(by.get(1, 0)), float(by.get(0, 0))
@@ -179,8 +185,8 @@ def _learn(rows: DataFrame, max_tokens: int, min_odds: float, against: float, pr
     n1, n0 = F.col("n1"), F.col("n0")
     part = lambda n, q: F.when(n > 0, n * F.log(n / ((n1 + n0) * q))).otherwise(0.0)
     g = F.sqrt(F.greatest(F.lit(0.0), 2 * (part(n1, F.lit(share)) + part(n0, F.lit(1 - share)))))
-    likely = seen.select("token", g.alias("g")).where(F.col("g") >= bound).orderBy(F.desc("g"), "token").limit(max_tokens)
-    wanted = spark.sparkContext.broadcast({r["token"] for r in likely.collect()})  # at most max_tokens
+    likely = seen.select("token", g.alias("g")).where(F.col("g") >= bound)
+    wanted = spark.sparkContext.broadcast({r["token"] for r in likely.collect()})  # of the bounded sample's words at most
     contexts = rows.mapInArrow(_contexts(wanted), "token string, y int, left string").groupBy("token", "y").agg(F.count_distinct("left").alias("n"))
     held: dict[str, list[int]] = {}
     for r in contexts.collect():  # at most two rows a wanted token
