@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,8 +12,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from attestra.llm import collocations, fill_middle, shards, suffix_tree
+import corpus_pipeline
+from attestra.llm import collocations, fill_middle, shards, suffix_tree, toxicity
 from attestra.llm.labelled import fold
+from attestra.runtime import materialise
 
 DOCS = "doc_id long, text string, lang string, lang_ string, shard long, score string, n int"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -255,3 +258,32 @@ def test_runs_are_maximal_and_offsets_exact():
     assert runs.width.tolist() == [1, 2, 3, 4, 1] and runs.units.tolist() == [2, 3, 5, 6, 7]
     assert runs.offset(np.arange(8)).tolist() == [len(text[:k].encode()) for k in range(8)]
     assert fill_middle.encode_runs(np.zeros(0, np.uint8)).offset(np.zeros(2, np.int64)).tolist() == [0, 0]
+
+
+# repairs of earlier operators
+
+
+def test_segments_of_a_long_clean_text_with_scattered_hits_take_linear_time():
+    n = 200_000
+    places = [20 * i for i in range(n)]
+    began = time.perf_counter()
+    found = toxicity.segments(places, [0.5] * n, 0.05)  # each hit lies below all earlier ones
+    rising = toxicity.segments(list(range(0, 2 * n, 2)), [1.0, -0.9] * (n // 2), 0.05)  # many stay on the stack
+    assert time.perf_counter() - began < 5
+    assert [(a, b) for a, b, _ in found] == [(p, p) for p in places] and len(rising) >= 1
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_rows_keep_columns_of_any_name_and_kind_in_the_jaccard_and_mixing_stages(spark, repeated):
+    one, two = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, one, "s"), (2, one, "s"), (3, two, None), (4, None, "s"), (5, "", "s"), (6, " \n", "s")] + ([(5, None, "s"), (5, None, "s"), (3, two, "s")] if repeated else [])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    clash = ("row", "row_id", "at", "id", "component_id", "stays", "mixed_times", "mixed_copy", "mixed_source", "n", "h", "size", "slot")
+    docs, _ = materialise(docs.withColumns({c: F.concat(F.lit(f"{c}-"), "doc_id") for c in clash} | {"map": F.create_map(F.lit("k"), "doc_id")}), "clash")
+    whole = {tuple(map(str, r)) for r in docs.collect()}
+    left, _ = materialise(corpus_pipeline.drop_copies(spark, docs, ""), "left")
+    assert left.columns == docs.columns and left.schema["map"].dataType.simpleString() == "map<string,bigint>"
+    assert {tuple(map(str, r)) for r in left.collect()} <= whole
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted([1, 3, 4, 5, 6] + ([5, 5] if repeated else []))
+    mixed = corpus_pipeline.mix_sources(spark, left, "").collect()
+    assert mixed and {tuple(map(str, r)) for r in mixed} <= whole and {r["doc_id"] for r in mixed} <= {1, 3}
