@@ -43,12 +43,15 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _drop_copied_rows(docs: DataFrame) -> DataFrame:
-    """The same where ids repeat: rows are numbered in the order of ids and decided by number, rows without an id stay."""
-    known = docs.where("doc_id is not null").dropDuplicates(docs.columns).orderBy("doc_id", F.xxhash64("text"))
-    rows, _ = materialise(known.withColumn("row_id", F.monotonically_increasing_id()), "rows")
-    groups = ngram_jaccard.jaccard_components(rows, id_col="row_id", width=5, percent=80)
-    drop, _ = materialise(groups.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("row_id")), "drop")
-    return rows.join(drop, "row_id", "left_anti").select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """The same where ids repeat: rows are numbered and decided by number. Of a group the row with the smallest id stays,
+    of several with that id the first; a row travels as one column, so no name of its columns can clash."""
+    rows, _ = materialise(docs.select(F.struct("*").alias("row"), "doc_id", "text", F.monotonically_increasing_id().alias("at")), "rows", "zstd")
+    groups = ngram_jaccard.jaccard_components(rows.where("doc_id is not null").select("at", "text"), id_col="at", width=5, percent=80)
+    named = groups.select(F.col("id").alias("at"), "component_id").join(rows.select("at", "doc_id"), "at")
+    stays = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "at")).alias("stays"))
+    drop = named.join(stays, "component_id").where(F.col("at") != F.col("stays.at")).select("at")
+    drop, _ = materialise(drop, "drop")
+    return rows.join(drop, "at", "left_anti").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
