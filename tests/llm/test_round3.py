@@ -58,6 +58,16 @@ def test_blocks_come_back_and_sorts_agree():
     assert cut[0] == 0 and cut[-1] == len(x) and (np.diff(cut) >= 0).all()
 
 
+def test_hashes_of_words_tell_them_apart():
+    rng = random.Random(2)
+    words = sorted({bytes(rng.choice(b"ab\x00\xff\xc3") for _ in range(rng.randrange(1, 40))) for _ in range(20_000)} | {b"a", b"a\0", b"a\0\0", b"x" * 5000})
+    rng.shuffle(words)
+    got = shards.word_hashes(b" ".join(words))
+    assert len(set(got.tolist())) == len(words) == len(got)
+    again = shards.word_hashes(b" ".join(words[::-1]))
+    assert (again[::-1] == got).all() and len(shards.word_hashes(b"")) == 0
+
+
 # phrases
 
 
