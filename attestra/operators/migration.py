@@ -33,7 +33,8 @@ def _header(text: Column) -> Column:
 
 def reclassed(text: Column, wanted: Column, key: str = "asset_class") -> Column:
     """Text whose front matter has ``wanted`` on every line of the key (on a new last line where there is none), or, where
-    ``wanted`` is null, no such line. Without front matter the text stays; the body always does."""
+    ``wanted`` is null, no such line. Without front matter the text stays; the body always does.
+    Line ends of the header become line feeds and a blank line at its end goes, one a pass, so such a header may change again."""
     lines, ours = _header(text), lambda x: x.startswith(f"{key}:")
     line = F.concat(F.lit(f"{key}: "), wanted)
     put = F.when(F.exists(lines, ours), F.transform(lines, lambda x: F.when(ours(x), line).otherwise(x))).otherwise(F.array_append(lines, line))
