@@ -1,3 +1,7 @@
+import math
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -126,3 +130,22 @@ def test_vault(spark, tmp_path):
     (d / "my-draft.md").write_text("# x\n")
     got = {r["title"]: r for r in vault.scan_vault(spark, str(tmp_path)).collect()}
     assert got["Title"]["eligible"] and got["Title"]["sections"]["One"] == "text\n" and got["x"]["exclusion_reason"] == "draft_excluded"
+
+
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_retrieved_pairs_equal_brute_force(spark, kind):
+    rng, name = random.Random(4), (lambda i: f"a{i:03d}") if kind == "string" else (lambda i: i)
+    held = {name(i): {f"t{rng.randrange(30) if i % 3 else rng.randrange(6)}" for _ in range(rng.randrange(1, 8))} for i in range(70)}
+    held[name(70)] = {"alone"}
+    n, df = len(held), {}
+    for terms in held.values():
+        for t in terms:
+            df[t] = df.get(t, 0) + 1
+    weight = {t: 1 + math.log((n + 1) / k) for t, k in df.items() if 2 <= k <= max(12, math.floor(4 * math.sqrt(n)))}
+    scores = {(a, b): s for a in held for b in held if a < b and (s := round(sum(weight.get(t, 0) for t in held[a] & held[b]), 9)) > 0}
+    best = {p for e in held for p in sorted((p for p in scores if e in p), key=lambda p: (-scores[p], p))[:3]}
+    rows = [(a, t) for a, terms in held.items() for t in terms]
+    got = R.retrieve_pairs(spark.createDataFrame(rows + rows[:20], f"id {kind}, term string"), 3).collect()
+    assert {(r["asset_a"], r["asset_b"]) for r in got} == best and len(got) == len(best)
+    assert all(abs(r["retrieval_score"] - scores[r["asset_a"], r["asset_b"]]) < 6e-4 and set(r["shared_terms"]) <= held[r["asset_a"]] & held[r["asset_b"]] for r in got)
+    assert R.retrieve_pairs(spark.createDataFrame([], f"id {kind}, term string"), 3).count() == 0
