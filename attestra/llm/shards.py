@@ -64,16 +64,24 @@ def word_hashes(joined: bytes) -> np.ndarray:
 
 def squeeze(a: np.ndarray) -> bytes:
     """An array as bytes, those of equal weight side by side, compressed."""
-    a = np.ascontiguousarray(a)
-    return zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()) if len(a) else b""
+    if not len(a):
+        return b""
+    columns = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize)
+    planes = np.empty((a.itemsize, len(a)), np.uint8)
+    for j in range(a.itemsize):  # several times faster than a transposed copy
+        planes[j] = columns[:, j]
+    return zstandard.ZstdCompressor(level=1).compress(planes.data)
 
 
 def expand(data: bytes, kind: str) -> np.ndarray:
     """The array that ``squeeze`` was given."""
     if not data:
         return np.zeros(0, kind)
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    columns = np.empty(planes.shape[::-1], np.uint8)
+    for j, plane in enumerate(planes):
+        columns[:, j] = plane
+    return columns.view(kind).reshape(-1)
 
 
 def squeeze_sorted(a: np.ndarray) -> bytes:
@@ -138,11 +146,11 @@ def ranks(x: np.ndarray, width: int = 64) -> np.ndarray:
     return out
 
 
-def ascending_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Places of pairs by the first, then by the second; ``b`` holds small numbers such as ranks."""
+def ascending_pairs(a: np.ndarray, b: np.ndarray, major: np.ndarray | None = None) -> np.ndarray:
+    """Places of pairs by the first, then by the second; ``b`` holds small numbers such as ranks. ``major``: ranks of ``a``, if known."""
     if not len(a):
         return np.zeros(0, np.int64)
-    major, width = ranks(a), int(b.max()).bit_length()
+    major, width = ranks(a) if major is None else major, int(b.max()).bit_length()
     wide = int(major.max()).bit_length() + width
     if wide > 64:
         return np.lexsort((b, a))
