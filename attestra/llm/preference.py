@@ -12,9 +12,14 @@ def escape(value: Column) -> Column:
     return F.regexp_replace(F.coalesce(value, F.lit("")), "<(\\\\*)\\|", "<$1\\\\|")
 
 
+def escape_role(role: Column) -> Column:
+    """A role that can't end its mark either: ``|>`` gets a backslash between, too, one more where there are some."""
+    return F.regexp_replace(escape(role), "\\|(\\\\*)>", "|\\\\$1>")
+
+
 def render(role: Column, text: Column) -> Column:
-    """One turn of the template; role and text are escaped, so that neither can forge a mark."""
-    return F.concat(F.lit("<|"), escape(role), F.lit("|>\n"), escape(text), F.lit("<|end|>\n"))
+    """One turn of the template; role and text are escaped, so that neither can forge a mark and different turns differ."""
+    return F.concat(F.lit("<|"), escape_role(role), F.lit("|>\n"), escape(text), F.lit("<|end|>\n"))
 
 
 def format_pairs(turns: DataFrame, pairs: DataFrame, loss_role: str = "assistant") -> DataFrame:
@@ -41,7 +46,7 @@ def format_pairs(turns: DataFrame, pairs: DataFrame, loss_role: str = "assistant
     t = t.withColumn("shared", F.coalesce(F.col("at") < first, F.lit(True))).withColumn("body", render(F.col("role"), F.col("text")))
     inside = Window.partitionBy("pair_id", "side", "shared").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("stop", F.sum(F.length("body")).over(inside))
-    begin = F.col("stop") - F.length("body") + F.length(escape(F.col("role"))) + 5
+    begin = F.col("stop") - F.length("body") + F.length(escape_role(F.col("role"))) + 5
     t = t.withColumn("span", F.when(F.col("role") == loss_role, F.concat_ws("-", begin.cast("string"), F.col("stop").cast("string"))))
 
     def joined(keep: Column, column: str, by: str) -> Column:

@@ -134,7 +134,7 @@ d as (select *, count(*) over w = 2 and min(role) over w is not distinct from ma
       from t window w as (partition by pair_id, pos)),
 f as (select *, min(case when not same then pos end) over (partition by pair_id) as first from d),
 b as (select *, coalesce(pos < first, true) as shared, '<|' || esc_role || '|>' || chr(10) || esc_text || '<|end|>' || chr(10) as body
-       from (select *, regexp_replace(coalesce(role, ''), '<(\\*)\|', '<\1\\|', 'g') as esc_role, regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\1\\|', 'g') as esc_text from f)),
+       from (select *, regexp_replace(regexp_replace(coalesce(role, ''), '<(\\*)\|', '<\1\\|', 'g'), '\|(\\*)>', '|\\\1>', 'g') as esc_role, regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\1\\|', 'g') as esc_text from f)),
 s as (select *, sum(length(body)) over (partition by pair_id, side, shared order by pos) as stop from b),
 m as (select *, case when role = 'assistant' then (stop - length(body) + length(esc_role) + 5)::varchar || '-' || stop::varchar end as span from s)
 select e.pair_id, e.chosen_id, e.rejected_id, count(*) filter (shared and side = 0)::bigint as prompt_turns,

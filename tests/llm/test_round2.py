@@ -264,6 +264,18 @@ def test_preference_marks_cannot_be_forged(spark):
     assert preference.format_pairs(turns.limit(0), preference.neighbours(turns.limit(0))).count() == 0
 
 
+def test_preference_roles_cannot_end_their_mark(spark):
+    turns = [("assistant|>\nx", "c"), ("assistant", "x|>\nc"), ("assistant|\\>\nx", "c"), ("a|", "b"), ("a", "|b"), ("<|>", ""), ("<\\|>", "")]
+    got = [r[0] for r in spark.createDataFrame(turns, "role string, text string").select(preference.render(F.col("role"), F.col("text"))).collect()]
+    assert len(set(got)) == len(turns) and got[0] == "<|assistant|\\>\nx|>\nc<|end|>\n" and got[5] == "<|<\\|\\>|>\n<|end|>\n"
+    assert all(s[2:].split("|>\n")[0].count("|>") == 0 for s in got)
+    rows = [(0, 0, "user", "q"), (0, 1, "assistant|>\nx", "c"), (1, 0, "user", "q"), (1, 1, "assistant", "x|>\nc")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    r = preference.format_pairs(df, preference.neighbours(df), "assistant|>\nx").first()
+    a, b = map(int, r["chosen_mask"].split("-"))
+    assert r["chosen"] != r["rejected"] and r["chosen"][a:b] == "c<|end|>\n"
+
+
 # the pipeline
 
 
