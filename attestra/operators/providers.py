@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ def _some(value: Column, root: str, fields: tuple[str, ...]) -> Column:
     return F.struct(*[F.try_variant_get(value, f"$.{root}.{f}", "variant").alias(f) for f in fields])
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often it stands there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def sanitized(result: Column, reference: Column) -> Column:
     """(problem, segments, result) of a provider's JSON text: ``result`` is JSON of the allowed fields, null if there is a problem.
 
@@ -32,19 +39,27 @@ def sanitized(result: Column, reference: Column) -> Column:
     recording's place, and machine paths in the metadata and chunking go with every field that isn't listed. Confidence, timestamps,
     missing ranges, warnings and listed fields are kept as they came, whatever their type. ``segments`` counts those kept.
     """
-    v = F.try_parse_json(result)
+    return _once(F.try_parse_json(result), lambda v: _once(_segments(v), lambda kept: _allowed(v, kept, reference)))
+
+
+def _segments(v: Column) -> Column:
+    """The segments that stay."""
     whole = F.try_variant_get(v, "$.segments", "array<variant>")
 
     def segment(x: Column, i: Column) -> Column:
         number = lambda f: F.when(F.try_variant_get(x, f"$.{f}", "variant").isNull(), 0.0).otherwise(F.try_variant_get(x, f"$.{f}", "double"))
         own = _text(x, "segment_id")
         return F.struct(
-            F.when(own != "", own).otherwise(F.concat(F.lit("transcript-"), F.lpad((i + 1).cast("string"), 3, "0"))).alias("segment_id"), number("start_time").alias("start_time"), number("end_time").alias("end_time"),
+            F.when(own != "", own).otherwise(F.format_string("transcript-%03d", i + 1)).alias("segment_id"), number("start_time").alias("start_time"), number("end_time").alias("end_time"),
             _text(x, "start_timestamp").alias("start_timestamp"), _text(x, "end_timestamp").alias("end_timestamp"), squeeze(_text(x, "text")).alias("text"),
             F.try_variant_get(x, "$.confidence", "variant").alias("confidence"),
         )
 
-    kept = F.filter(F.transform(F.coalesce(whole, F.array().cast("array<variant>")), segment), lambda s: F.coalesce((s["text"] != "") & (s["end_time"] > s["start_time"]), F.lit(False)))
+    return F.filter(F.transform(F.coalesce(whole, F.array().cast("array<variant>")), segment), lambda s: F.coalesce((s["text"] != "") & (s["end_time"] > s["start_time"]), F.lit(False)))
+
+
+def _allowed(v: Column, kept: Column, reference: Column) -> Column:
+    """The struct that ``sanitized`` returns."""
     named = lambda f: F.coalesce(F.try_variant_get(v, f"$.{f}", "string"), F.lit("unknown")).alias(f)
     raw = lambda f: F.coalesce(F.try_variant_get(v, f"$.{f}", "variant"), F.parse_json(F.lit("[]"))).alias(f)
     problem = (

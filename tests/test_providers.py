@@ -48,6 +48,8 @@ def test_sanitized_against_a_plain_version(spark):
         v["provider_metadata"] = some(device=["cpu"], network_access=[False], python_executable=["/usr/bin/python"], model_path=["/m"])
         v["chunking"] = some(strategy=["fixed"], chunks=[[{"a": 1}], []], chunk_count=[2], folder=["/tmp"])
         rows.append(json.dumps(v))
+    many = [{"text": "w", "end_time": 1 if n in (0, 999, 1199) else 0} for n in range(1200)]
+    rows.append(json.dumps({"protocol": "transcript-provider-v1", "status": "partial", "text": "x", "segments": many}))
     df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i long, t string").select("t", P.sanitized(F.col("t"), F.lit("ref")).alias("s"))
     seen = set()
     for r in df.collect():
