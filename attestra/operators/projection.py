@@ -67,15 +67,17 @@ def nonsemantic_proofs(relations: DataFrame, before: DataFrame, notes: DataFrame
     ``relations``: candidate_id (unique), source_asset_id, target_asset_id. ``before``: candidate_id, side (source or target),
     text: the images that a receipt kept; of several for a side, all must agree. ``notes``: asset_id (unique), text.
     One row a relation: candidate_id, proven, reason: null, or ``image_missing``, ``note_missing``, ``source_changed``,
-    ``target_changed``, the first that holds; a null text is a missing one. Texts are compared where they meet,
-    only marks go on. A note with many relations is skewed as any join's key; AQE splits it.
+    ``target_changed``, the first that holds; a null text is a missing one. Forms are compared by SHA-256: an image is hashed
+    where it is read, a note where it meets its relations, so only notes' texts are shuffled, once. A note with many
+    relations is skewed as any join's key; AQE splits it.
     """
     ends = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_asset_id").alias("asset_id")) for s in ("source", "target")])).alias("end")
     r = relations.select("candidate_id", ends).select("candidate_id", "end.*")
-    images = before.select("candidate_id", "side", F.col("text").alias("image"))
-    j = r.join(notes.select("asset_id", F.col("text").alias("now")), "asset_id", "left").join(images, ["candidate_id", "side"], "left")
-    same = nonsemantic(F.col("now"), F.col("candidate_id")) == nonsemantic(F.col("image"), F.col("candidate_id"))
-    j = j.select("candidate_id", "side", F.col("image").isNull().alias("no_image"), F.col("now").isNull().alias("no_note"), (~same).alias("changed"))
+    form = F.unhex(F.sha2(nonsemantic(F.col("text"), F.col("candidate_id")), 256))
+    images = before.select("candidate_id", "side", form.alias("image"))
+    now = r.join(notes.select("asset_id", "text"), "asset_id", "left").select("candidate_id", "side", form.alias("now"))
+    j = now.join(images, ["candidate_id", "side"], "left")
+    j = j.select("candidate_id", "side", F.col("image").isNull().alias("no_image"), F.col("now").isNull().alias("no_note"), (F.col("now") != F.col("image")).alias("changed"))
     any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     reason = F.when(any_(F.col("no_image")), "image_missing").when(any_(F.col("no_note")), "note_missing")
     for side in ("source", "target"):
