@@ -42,6 +42,11 @@ def candidate_view(candidates: DataFrame) -> Column:
     return I.to_json(F.struct(admission.alias("admission"), "asset_type", "candidate_id", content.alias("content"), stable.alias("provenance"), source.alias("source"), "status"))
 
 
+def _sha(value: Column) -> Column:
+    """The first 16 bytes of a SHA-256, as texts that are only compared are carried through shuffles."""
+    return F.substring(F.unhex(F.sha2(value.cast("binary"), 256)), 1, 16)
+
+
 def bundle_digests(candidates: DataFrame) -> DataFrame:
     """(bundle_id, bundle_digest): one digest of all candidates of a bundle, whatever their order.
 
@@ -53,33 +58,58 @@ def bundle_digests(candidates: DataFrame) -> DataFrame:
     return v.groupBy("bundle_id").agg(F.concat(F.lit("sha256:"), F.sha2(F.concat_ws(",", F.count("*").cast("string"), *words), 256)).alias("bundle_digest"))
 
 
-def bindings(candidates: DataFrame, components: DataFrame) -> DataFrame:
-    """What publishing would write now: bundle_id, candidate_id, problem, binding, own_binding.
+def held_columns(candidates: DataFrame) -> list[Column]:
+    """Of a candidate what the checks need, texts as hashes."""
+    return [*map(F.col, ("asset_type", "status", "material_id", "revision_id", "title")), _sha(candidate_view(candidates)).alias("view"), _sha(body_hash(F.coalesce("markdown", F.lit("")))).alias("body")]
 
-    ``candidates``: bundle_id, candidate_id, asset_type, status, material_id, revision_id, title, markdown,
-    readable_reference, content_hash, stable_references (array), admission (canonical JSON). ``components``: bundle_id,
-    candidate_id, target_folder, filename, source_material_id, source_revision_id, published_title, published_body,
-    projection_hash, quality (canonical JSON). ``binding`` covers the whole bundle and ``own_binding`` only the candidate; both
-    are null where a problem forbids a snapshot: ``target_mismatch``, ``source_mismatch``, ``body_mismatch``,
-    ``title_mismatch``, ``projection_missing``. Only candidates with a component have a row.
-    """
-    used = ["target_folder", "filename", "source_material_id", "source_revision_id", "published_title", "published_body", "projection_hash", "quality"]
-    c = candidates.withColumn("view", candidate_view(candidates))
-    j = c.join(components.select(*KEY, *used), KEY).join(bundle_digests(candidates), "bundle_id")
+
+def planned_columns() -> list[Column]:
+    """Of a component what the bindings need, texts as hashes."""
+    published = F.when(F.col("published_body").isNotNull(), _sha(body_hash(F.col("published_body"))))
+    return [*map(F.col, ("target_folder", "filename", "source_material_id", "source_revision_id", "published_title", "projection_hash", "quality")), published.alias("published")]
+
+
+def own_binding(rows: DataFrame) -> DataFrame:
+    """Rows of ``held_columns`` and ``planned_columns`` with ``found``, the first problem, and ``own``, the bytes of the candidate's own binding."""
     kind, is_source = F.col("asset_type"), F.col("asset_type") == "source_asset"
     folder = F.element_at(F.create_map(*[F.lit(x) for pair in FOLDERS.items() for x in pair]), kind)
     plain_name = F.col("filename").rlike(r"\A[^/\x00]+\.md\z")
-    published = F.when(~is_source & F.col("published_body").isNotNull(), body_hash(F.col("published_body")))
+    published = F.when(~is_source, F.col("published"))
     problem = (
         F.when(~F.coalesce((F.col("target_folder") == folder) & plain_name, F.lit(False)), "target_mismatch")
         .when(~(F.col("material_id").eqNullSafe(F.col("source_material_id")) & F.col("revision_id").eqNullSafe(F.col("source_revision_id"))), "source_mismatch")
-        .when(published.isNotNull() & (published != body_hash(F.coalesce("markdown", F.lit("")))), "body_mismatch")
+        .when(published.isNotNull() & (published != F.col("body")), "body_mismatch")
         .when(~is_source & F.col("published_title").isNotNull() & ~F.col("title").eqNullSafe(F.col("published_title")), "title_mismatch")
         .when(is_source & (F.coalesce("projection_hash", F.lit("")) == ""), "projection_missing")
     )
-    snap = lambda bundle: I.to_json(F.struct(bundle.alias("bundle"), "filename", published.alias("published"), F.when(is_source, F.col("projection_hash")).alias("projection"), "quality", "target_folder", "view"))
-    ok = problem.isNull()
-    return j.select(*KEY, problem.alias("problem"), F.when(ok, _hash(snap(F.col("bundle_digest")))).alias("binding"), F.when(ok, _hash(snap(F.lit(None).cast("string")))).alias("own_binding"))
+    snap = I.to_json(F.struct("filename", F.hex(published).alias("published"), F.when(is_source, F.col("projection_hash")).alias("projection"), "quality", "target_folder", F.hex("view").alias("view")))
+    return rows.withColumn("found", problem).withColumn("own", F.when(F.col("found").isNull(), F.unhex(F.sha2(snap, 256))))
+
+
+def whole_binding(digest: Column, own: Column) -> Column:
+    """The binding of a candidate within its bundle, from its own one; null where that is."""
+    return F.concat(F.lit("sha256:"), F.sha2(F.concat(digest, F.lit("|"), F.hex(own)).cast("binary"), 256))
+
+
+def written(own: Column) -> Column:
+    """Bytes of a hash as the text that is stored."""
+    return F.concat(F.lit("sha256:"), F.lower(F.hex(own)))
+
+
+def bindings(candidates: DataFrame, components: DataFrame) -> DataFrame:
+    """What publishing would write now: bundle_id, candidate_id, problem, binding, own_binding.
+
+    ``candidates``: bundle_id, candidate_id, asset_type, status, material_id, revision_id, title, markdown,
+    readable_reference, content_hash, stable_references (array), admission (canonical JSON). ``components``: bundle_id,
+    candidate_id, target_folder, filename, source_material_id, source_revision_id, published_title, published_body,
+    projection_hash, quality (canonical JSON). ``binding`` covers the whole bundle and ``own_binding`` only the candidate; both
+    are null where a problem forbids a snapshot: ``target_mismatch``, ``source_mismatch``, ``body_mismatch``,
+    ``title_mismatch``, ``projection_missing``. Only candidates with a component have a row. Texts are hashed where they are
+    read; only hashes are shuffled.
+    """
+    j = candidates.select(*KEY, *held_columns(candidates)).join(components.select(*KEY, *planned_columns()), KEY)
+    j = own_binding(j).select(*KEY, "found", "own").join(bundle_digests(candidates), "bundle_id")
+    return j.select(*KEY, F.col("found").alias("problem"), whole_binding(F.col("bundle_digest"), F.col("own")).alias("binding"), written(F.col("own")).alias("own_binding"))
 
 
 def preflight(bundles: DataFrame, candidates: DataFrame, components: DataFrame, selection: DataFrame) -> DataFrame:
@@ -97,28 +127,38 @@ def preflight(bundles: DataFrame, candidates: DataFrame, components: DataFrame,
     ``approval_mismatch``, ``confirmation_mismatch`` and ``source_repeated`` (a bundle has one source). Ids are
     unique within a bundle; null ids match nothing. An empty table of bundles gives no rows.
     """
-    chosen = selection.select(*KEY, "position")
-    given = chosen.select("bundle_id").distinct()
-    rest = candidates.where("status = 'publishable'").join(given, "bundle_id", "left_anti")
-    picks = chosen.withColumn("by", F.lit("")).unionByName(rest.select(*KEY, F.lit(0).cast("long").alias("position"), F.col("candidate_id").cast("string").alias("by")))
-    held = candidates.withColumn("view", candidate_view(candidates)).select(*KEY, "asset_type", "status", "view")
-    plan = components.select(*KEY, "component_type", "inputs", "snapshot", "approved", "confirmed_binding")
-    j = picks.join(bundles, "bundle_id").join(held, KEY, "left").join(plan, KEY, "left").join(bindings(candidates, components), KEY, "left")
     yes = lambda c: F.coalesce(c, F.lit(False))
-    is_source, own = F.col("asset_type") == "source_asset", F.col("snapshot")
+    named = F.col("candidate_id").isNotNull()
+    held = candidates.select(*KEY, *held_columns(candidates)).withColumns({c: F.when(named, F.col(c)) for c in ("asset_type", "view")})
+    temporary = yes(F.exists("inputs", I.is_temporary)).alias("temporary")
+    plan = components.select(*KEY, *planned_columns(), "component_type", temporary, _sha(F.col("snapshot")).alias("snapshot"), _sha(F.col("approved")).alias("approved"), _sha(F.col("confirmed_binding")).alias("own_confirmed"))
+    chosen = selection.select(*KEY, "position", F.lit(True).alias("asked"))
+    # one shuffle by candidate: what is held, what is planned and what is asked for
+    j = own_binding(held.join(plan, KEY, "left")).join(chosen, KEY, "full").where(yes(F.col("asked")) | yes(F.col("status") == "publishable"))
+    is_source, stored = F.col("asset_type") == "source_asset", F.col("snapshot")
+    alone = (
+        F.when(F.col("view").isNull(), "candidate_absent")
+        .when(~yes(F.col("status") == "publishable"), "not_publishable")
+        .when(~yes(F.col("component_type") == F.col("asset_type")), "component_mismatch")
+        .when(F.col("temporary"), "temporary_input")
+        .when(~is_source & stored.isNull(), "snapshot_missing")
+        .when(~is_source & (stored != F.col("view")), "candidate_changed")
+        .otherwise(F.col("found"))
+    )
+    unconfirmed = yes(~is_source & ~_sha(written(F.col("own"))).eqNullSafe(F.col("own_confirmed")))
+    j = j.select(*KEY, "asset_type", "asked", F.when(F.col("asked"), F.col("position")).otherwise(0).cast("long").alias("position"), F.when(F.col("asked"), "").otherwise(F.col("candidate_id").cast("string")).alias("by"),
+                 alone.alias("alone"), F.when(alone.isNull(), F.col("own")).alias("own"), F.when(alone.isNull(), F.col("approved")).alias("approved"), unconfirmed.alias("unconfirmed"))
+    # and one by bundle, of what is left
+    given = selection.select("bundle_id").distinct().withColumn("given", F.lit(True))
+    heads = bundles.join(given, "bundle_id", "left").join(bundle_digests(candidates), "bundle_id", "left")
+    j = j.join(heads, "bundle_id").where(yes(F.col("asked")) | F.col("given").isNull())
     bad = (
         F.when(~yes((F.col("protocol") == BUNDLE) & (F.col("workflow_state") == AWAITING)), "bundle_state")
         .when(~yes((F.col("plan_protocol") == PLAN) & (F.col("plan_bundle_id") == F.col("bundle_id"))), "plan_mismatch")
         .when(~yes(F.col("confirmed") & (F.col("reviewer") == "user")), "approval_missing")
-        .when(F.col("view").isNull(), "candidate_absent")
-        .when(~yes(F.col("status") == "publishable"), "not_publishable")
-        .when(~yes(F.col("component_type") == F.col("asset_type")), "component_mismatch")
-        .when(yes(F.exists("inputs", I.is_temporary)), "temporary_input")
-        .when(~is_source & own.isNull(), "snapshot_missing")
-        .when(~is_source & (own != F.col("view")), "candidate_changed")
-        .when(F.col("problem").isNotNull(), F.col("problem"))
-        .when(~F.col("binding").eqNullSafe(F.col("approved")), "approval_mismatch")
-        .when(~is_source & ~F.col("own_binding").eqNullSafe(F.col("confirmed_binding")), "confirmation_mismatch")
+        .when(F.col("alone").isNotNull(), F.col("alone"))
+        .when(~_sha(whole_binding(F.col("bundle_digest"), F.col("own"))).eqNullSafe(F.col("approved")), "approval_mismatch")
+        .when(F.col("unconfirmed"), "confirmation_mismatch")
     )
     order = F.coalesce(F.array_position(F.array(*map(F.lit, ORDER)), F.col("asset_type")), F.lit(0)).cast("long")
     rows = j.select(*KEY, "asset_type", F.struct(order.alias("type"), "position", "by").alias("place"), bad.alias("problem"))

@@ -26,31 +26,40 @@ def _bundles(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]
         "bundle_id", F.when(k % 41 == 1, "v0").otherwise(B.BUNDLE).alias("protocol"), F.lit(B.AWAITING).alias("workflow_state"), F.lit(B.PLAN).alias("plan_protocol"),
         F.when(k % 41 == 2, k + 1).otherwise(k).alias("plan_bundle_id"), (k % 41 != 3).alias("confirmed"), F.lit("user").alias("reviewer"),
     )
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("bundle_id"), F.col("l_linenumber").cast("long").alias("line")).agg(F.min("l_partkey").alias("part"), F.min("l_quantity").cast("long").alias("quantity"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").repartition("l_orderkey")  # all that follows is within an order
+    lines = lines.groupBy(F.col("l_orderkey").alias("bundle_id"), F.col("l_linenumber").cast("long").alias("line")).agg(F.min("l_partkey").alias("part"), F.min("l_quantity").cast("long").alias("quantity"))
     first = lines.groupBy("bundle_id").agg(F.min("line").alias("first"))
-    kind = F.when(F.col("line") == F.col("first"), _KINDS[0]).otherwise(F.element_at(F.array(*map(F.lit, _KINDS[1:])), (F.col("line") % 4 + 1).cast("int")))
-    c = lines.join(first, "bundle_id").withColumns({"candidate_id": F.concat_ws("-", "bundle_id", "line"), "asset_type": kind, "fault": (k * 31 + F.col("line") * 7 + F.col("part")) % 60})
-    is_ = lambda n: F.col("fault") == n
     text = lambda part: F.concat(F.lit("---\nkind: note\n---\n\nPart "), part.cast("string"), F.lit("\n"))
-    candidates = c.select(
-        "bundle_id", "candidate_id", "asset_type", F.when(F.col("quantity") % 10 == 0, "draft").otherwise("publishable").alias("status"), F.concat(F.lit("m"), k).alias("material_id"), F.lit("r1").alias("revision_id"),
-        F.concat(F.lit("Line "), "line").alias("title"), text(F.col("part")).alias("markdown"), F.concat(F.lit("ref/"), k).alias("readable_reference"), F.lit("sha256:0").alias("content_hash"),
-        F.array(F.lit("z"), F.concat(F.lit("a"), "part")).alias("stable_references"), F.lit("{}").alias("admission"), "fault", "line", "part",
-    )
+
+    def candidates_of(c: DataFrame, *more: str) -> DataFrame:
+        kind = F.when(F.col("line") == F.col("first"), _KINDS[0]).otherwise(F.element_at(F.array(*map(F.lit, _KINDS[1:])), (F.col("line") % 4 + 1).cast("int")))
+        return c.select(
+            "bundle_id", F.concat_ws("-", "bundle_id", "line").alias("candidate_id"), kind.alias("asset_type"), F.when(F.col("quantity") % 10 == 0, "draft").otherwise("publishable").alias("status"), F.concat(F.lit("m"), k).alias("material_id"), F.lit("r1").alias("revision_id"),
+            F.concat(F.lit("Line "), "line").alias("title"), text(F.col("part")).alias("markdown"), F.concat(F.lit("ref/"), k).alias("readable_reference"), F.lit("sha256:0").alias("content_hash"),
+            F.array(F.lit("z"), F.concat(F.lit("a"), "part")).alias("stable_references"), F.lit("{}").alias("admission"), "line", "part", *more,
+        )
+
+    # only keys and digests are written; candidates and components are columns of them
+    c = lines.join(first, "bundle_id")
+    c, _ = materialise(c.join(B.bundle_digests(candidates_of(c)), "bundle_id"), "candidates", "zstd")
+    candidates = candidates_of(c)
+    is_ = lambda n: (k * 31 + F.col("line") * 7 + F.col("part")) % 60 == n
     folder = F.element_at(F.create_map(*[F.lit(x) for pair in B.FOLDERS.items() for x in pair]), F.col("asset_type"))
-    candidates, _ = materialise(candidates, "candidates")
-    parts = candidates.withColumn("view", B.candidate_view(candidates)).select(
-        "bundle_id", "candidate_id", "fault", F.col("asset_type").alias("component_type"), F.when(is_(0), "elsewhere").otherwise(folder).alias("target_folder"),
-        F.when(is_(1), "../x.md").otherwise(F.concat("candidate_id", F.lit(".md"))).alias("filename"), F.when(is_(2), "other").otherwise(F.col("material_id")).alias("source_material_id"), F.col("revision_id").alias("source_revision_id"),
-        F.when(is_(3), "Other").otherwise(F.col("title")).alias("published_title"), F.when(is_(4), "Other").otherwise(F.concat(F.lit("\n  Part "), F.col("part").cast("string"), F.lit("\t"))).alias("published_body"),
-        F.when(~is_(5), "p").alias("projection_hash"), F.lit("{}").alias("quality"), F.array(F.when(is_(6), "/tmp/a").otherwise("a/b")).alias("inputs"), F.when(is_(7), "changed").when(~is_(8), F.col("view")).alias("snapshot"),
+    both = candidates_of(c, "bundle_digest").withColumns({
+        "component_type": F.col("asset_type"), "target_folder": F.when(is_(0), "elsewhere").otherwise(folder),
+        "filename": F.when(is_(1), "../x.md").otherwise(F.concat("candidate_id", F.lit(".md"))), "source_material_id": F.when(is_(2), "other").otherwise(F.col("material_id")), "source_revision_id": F.col("revision_id"),
+        "published_title": F.when(is_(3), "Other").otherwise(F.col("title")), "published_body": F.when(is_(4), "Other").otherwise(F.concat(F.lit("\n  Part "), F.col("part").cast("string"), F.lit("\t"))),
+        "projection_hash": F.when(~is_(5), "p"), "quality": F.lit("{}"), "inputs": F.array(F.when(is_(6), "/tmp/a").otherwise("a/b")),
+    })
+    kept = ("component_type", "inputs", "published_body", "line", "part", "bundle_digest")
+    now = B.own_binding(both.select("bundle_id", "candidate_id", *B.held_columns(both), *B.planned_columns(), *kept, B.candidate_view(both).alias("text")))
+    components = now.select(
+        "bundle_id", "candidate_id", "component_type", "target_folder", "filename", "source_material_id", "source_revision_id", "published_title", "published_body", "projection_hash", "quality", "inputs",
+        F.when(is_(7), "changed").when(~is_(8), F.col("text")).alias("snapshot"), F.when(is_(9), "old").otherwise(B.whole_binding(F.col("bundle_digest"), F.col("own"))).alias("approved"), F.when(is_(10), "old").otherwise(B.written(F.col("own"))).alias("confirmed_binding"),
     )
-    parts, _ = materialise(parts, "components")
-    now = B.bindings(candidates, parts)
-    components = parts.join(now.drop("problem"), ["bundle_id", "candidate_id"], "left").withColumn("approved", F.when(is_(9), "old").otherwise(F.col("binding"))).withColumn("confirmed_binding", F.when(is_(10), "old").otherwise(F.col("own_binding")))
     every = candidates.where("bundle_id % 3 = 0 and line % 3 <> 1").select("bundle_id", "candidate_id", F.col("line").alias("position"))
     absent = o.where("bundle_id % 33 = 0").select("bundle_id", F.lit("nowhere").alias("candidate_id"), F.lit(99).cast("long").alias("position"))
-    return bundles, candidates, components.drop("fault", "binding", "own_binding"), every.unionByName(absent)
+    return bundles, candidates.drop("line", "part"), components, every.unionByName(absent)
 
 
 _PREFLIGHT = """with l as (select l_orderkey as b, l_linenumber::bigint as line, min(l_partkey) as part, min(l_quantity)::bigint as q from lineitem where l_orderkey in (select o_orderkey from orders) group by all),

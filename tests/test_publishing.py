@@ -198,3 +198,16 @@ def test_operations_as_sql_functions(spark):
     assert run("select * from op_test_reconcile('o2')") == [("o2", "failed", "failed")]
     assert run("select * from op_test_reconcile('o3')") == [("o3", "needs_reconciliation", "strange")]
     assert json.loads(spark.sql("select to_json(collect_list(g.status)) from values ('o1'), ('o2') t(id), lateral op_test_get(t.id) g").first()[0])
+
+
+def test_preflight_shuffles_no_texts(spark):
+    c, parts = bundle_tables(spark)
+    none = spark.createDataFrame([], "bundle_id long, candidate_id string, position long")
+    plan = B.preflight(heads(spark, range(5)), c, approve(c, parts), none)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert joins and not any("to_json" in line or "regexp_replace" in line for line in joins)
+    null = spark.createDataFrame([tuple(None if k == 1 else v for k, v in enumerate(candidate(7, 0, "source_asset")))], CANDIDATE)
+    got = B.preflight(heads(spark, [7]), null, approve(c, parts), none).collect()
+    assert [(r["candidate_id"], r["asset_type"], r["problem"]) for r in got] == [(None, None, "candidate_absent")]
+    forged = approve(c, parts).withColumn("approved", F.concat(F.substring("approved", 1, 60), F.lit("0" * 11)))  # alike at first only
+    assert {r["problem"] for r in B.preflight(heads(spark, [0]), c, forged, none).collect()} == {"approval_mismatch"}
