@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,12 +17,19 @@ _HEADING = rf"^##{_SPACE}+.+$"
 _SECTION = rf"(?dmU)((?:{_HEADING}|\A)(?s:.*?))(?={_HEADING}|\z)"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _right_stripped(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)(?<!{_SPACE}){_SPACE}++\z", "")  # looks back, so that a long run is read once
+    cut = lambda t: F.regexp_replace(t, rf"(?U)(?<!{_SPACE}){_SPACE}++\z", "")  # noqa: E731  (looks back, so that a long run is read once)
+    return _once(text, lambda t: F.when(F.right(t, F.lit(1)).rlike(rf"(?U){_SPACE}"), cut(t)).otherwise(t))  # most texts have nothing to cut and aren't searched
 
 
 def _stripped(text: Column) -> Column:
-    return F.regexp_replace(_right_stripped(text), rf"(?U)\A{_SPACE}+", "")
+    cut = lambda t: F.regexp_replace(t, rf"(?U)\A{_SPACE}+", "")
+    return _once(_right_stripped(text), lambda t: F.when(F.left(t, F.lit(1)).rlike(rf"(?U){_SPACE}"), cut(t)).otherwise(t))
 
 
 def _lines(text: Column) -> Column:
@@ -38,8 +47,8 @@ def nonsemantic(text: Column, marker: Column) -> Column:
     Linear in the text: sections are found in one pass and joined once.
     """
     shut = F.when(text.startswith("---\n") & (F.locate("\n---\n", text, 5) > 0), F.locate("\n---\n", text)).otherwise(0)
-    header = F.filter(_lines(F.substring(text, F.lit(1), shut - 1)), lambda x: ~x.rlike(rf"^({'|'.join(MANAGED_KEYS)}):"))
-    plain = F.when(shut > 0, F.concat(F.array_join(header, "\n"), F.substring(text, shut, F.length(text)))).otherwise(text)
+    header = lambda at: F.filter(_lines(F.substring(text, F.lit(1), at - 1)), lambda x: ~x.rlike(rf"^({'|'.join(MANAGED_KEYS)}):"))
+    bare = _once(shut, lambda at: F.when(at > 0, F.concat(F.array_join(header(at), "\n"), F.substring(text, at, F.length(text)))).otherwise(text))
     holds = lambda x: F.coalesce((F.length(marker) > 0) & F.contains(x, marker), F.lit(False))
     kept = lambda x: _stripped(F.array_join(F.filter(_lines(x), lambda line: ~F.contains(line, marker)), "\n"))
     headed = lambda x: F.regexp_extract(x, rf"(?dmU)\A({_HEADING})", 1)
@@ -49,7 +58,7 @@ def nonsemantic(text: Column, marker: Column) -> Column:
         rest = F.when(ours, kept(x))
         return F.struct(ours.alias("ours"), F.when(ours & (rest != headed(x)), rest).when(~ours, x).alias("text"))  # null: it goes
 
-    units = F.transform(F.regexp_extract_all(plain, F.lit(_SECTION), 1), unit)
+    units = lambda plain: F.transform(F.regexp_extract_all(plain, F.lit(_SECTION), 1), unit)
 
     def piece(u: Column, i: Column, all_: Column) -> Column:
         cut = F.coalesce(F.get(all_, i + 1)["ours"], F.lit(False))  # blank ends go ahead of a managed section
@@ -57,8 +66,9 @@ def nonsemantic(text: Column, marker: Column) -> Column:
         own = F.when(t.isNull() | (cut & (t == "")), "").otherwise(F.concat(F.lit("\n\n"), t, F.when(cut, "").otherwise("\n\n")))
         return F.when(u["ours"], own).otherwise(F.when(cut, _right_stripped(t)).otherwise(t))
 
-    joined = F.element_at(F.transform(F.array(units), lambda all_: F.array_join(F.transform(all_, lambda u, i: piece(u, i, all_)), "")), 1)
-    return F.when(text.isNotNull(), _stripped(joined))
+    joined = lambda plain: _once(units(plain), lambda all_: F.array_join(F.transform(all_, lambda u, i: piece(u, i, all_)), ""))
+    # sections are read only where one may be managed
+    return F.when(text.isNotNull(), _stripped(_once(bare, lambda plain: F.when(holds(plain), joined(plain)).otherwise(plain))))
 
 
 def nonsemantic_proofs(relations: DataFrame, before: DataFrame, notes: DataFrame) -> DataFrame:
@@ -68,14 +78,17 @@ def nonsemantic_proofs(relations: DataFrame, before: DataFrame, notes: DataFrame
     text: the images that a receipt kept; of several for a side, all must agree. ``notes``: asset_id (unique), text.
     One row a relation: candidate_id, proven, reason: null, or ``image_missing``, ``note_missing``, ``source_changed``,
     ``target_changed``, the first that holds; a null text is a missing one. Forms are compared by SHA-256: an image is hashed
-    where it is read, a note where it meets its relations, so only notes' texts are shuffled, once. A note with many
-    relations is skewed as any join's key; AQE splits it.
+    where it is read, a note once, and again only for relations whose marker its text holds, so only notes' texts are
+    shuffled, once. A note with many relations is skewed as any join's key; AQE splits it.
     """
     ends = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_asset_id").alias("asset_id")) for s in ("source", "target")])).alias("end")
     r = relations.select("candidate_id", ends).select("candidate_id", "end.*")
-    form = F.unhex(F.sha2(nonsemantic(F.col("text"), F.col("candidate_id")), 256))
-    images = before.select("candidate_id", "side", form.alias("image"))
-    now = r.join(notes.select("asset_id", "text"), "asset_id", "left").select("candidate_id", "side", form.alias("now"))
+    form = lambda marker: F.unhex(F.sha2(nonsemantic(F.col("text"), marker), 256))
+    mark = F.col("candidate_id")
+    images = before.select("candidate_id", "side", form(mark).alias("image"))
+    plain = notes.select("asset_id", "text", form(F.lit("")).alias("plain"))
+    touched = F.contains("text", mark) | mark.rlike(LINE_ENDS)  # line ends of the front matter change
+    now = r.join(plain, "asset_id", "left").select("candidate_id", "side", F.when(touched, form(mark)).otherwise(F.col("plain")).alias("now"))
     j = now.join(images, ["candidate_id", "side"], "left")
     j = j.select("candidate_id", "side", F.col("image").isNull().alias("no_image"), F.col("now").isNull().alias("no_note"), (F.col("now") != F.col("image")).alias("changed"))
     any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))

@@ -73,3 +73,16 @@ def test_end_changes(spark):
     kinds = "candidate_id long, " + ", ".join(f"{s}_{c} string" for s in ("source", "target") for c in ("location", "asset_id", "revision", "snapshot_hash"))
     got = {r["candidate_id"]: r["problem"] for r in J.end_changes(spark.createDataFrame(rows, kinds), assets).collect()}
     assert got == {0: None, 1: "asset_missing", 2: "asset_missing", 3: "identity_changed", 4: "revision_changed", 5: "snapshot_changed", 6: "identity_changed"}
+
+
+def test_proofs_read_sections_only_for_markers(spark):
+    """A note is hashed once; relations whose marker it lacks take that hash, those whose marker it holds their own."""
+    note = "---\ntitle: a\ngraph_group: g\n---\nBody\n\n## Links\n\n- to x (rel-1.)\n"
+    relations = spark.createDataFrame([(f"rel-{i}.", "a", "a") for i in range(4)], "candidate_id string, source_asset_id string, target_asset_id string")
+    bare = "---\ntitle: a\n---\nBody\n"
+    before = spark.createDataFrame([(f"rel-{i}.", s, bare if i < 2 else note) for i in range(4) for s in ("source", "target")], "candidate_id string, side string, text string")
+    notes = spark.createDataFrame([("a", note)], "asset_id string, text string")
+    out = J.nonsemantic_proofs(relations, before, notes)
+    assert {r["candidate_id"]: r["reason"] for r in out.collect()} == {"rel-0.": "source_changed", "rel-1.": None, "rel-2.": None, "rel-3.": None}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS plain" in plan
