@@ -149,3 +149,16 @@ def test_retrieved_pairs_equal_brute_force(spark, kind):
     assert {(r["asset_a"], r["asset_b"]) for r in got} == best and len(got) == len(best)
     assert all(abs(r["retrieval_score"] - scores[r["asset_a"], r["asset_b"]]) < 6e-4 and set(r["shared_terms"]) <= held[r["asset_a"]] & held[r["asset_b"]] for r in got)
     assert R.retrieve_pairs(spark.createDataFrame([], f"id {kind}, term string"), 3).count() == 0
+
+
+def test_rows_without_a_fact_are_spread(spark):
+    """Rows that aren't active have no fact; they must not meet in one window, nor count for a fact."""
+    from attestra.operators import relations as R
+
+    a, m, r = "asset_sha256_" + "0" * 64, "material_sha256_" + "1" * 64, "revision_sha256_" + "2" * 64
+    rows = [(f"x{i}", a, m, r, r, "extends", "extended_by", "rejected") for i in range(50)] + [("y", a, m, r, r, "extends", "extended_by", "approved"), ("z", m, a, r, r, "extended_by", "extends", "executed")]
+    df = spark.createDataFrame(rows, "relation_id string, source_asset_id string, target_asset_id string, source_revision string, target_revision string, relation_type string, reciprocal_relation string, approval_status string")
+    out = R.validate_registry(df)
+    assert {x["relation_id"]: x["violations"] for x in out.collect()} == {f"x{i}": [] for i in range(50)} | {"y": ["duplicate_active_fact"], "z": ["duplicate_active_fact"]}
+    windows = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in line]
+    assert len(windows) == 2 and not any("target_asset_id" in w for w in windows) and any("w0" in w for w in windows)
