@@ -153,8 +153,6 @@ def test_retrieved_pairs_equal_brute_force(spark, kind):
 
 def test_rows_without_a_fact_are_spread(spark):
     """Rows that aren't active have no fact; they must not meet in one window, nor count for a fact."""
-    from attestra.operators import relations as R
-
     a, m, r = "asset_sha256_" + "0" * 64, "material_sha256_" + "1" * 64, "revision_sha256_" + "2" * 64
     rows = [(f"x{i}", a, m, r, r, "extends", "extended_by", "rejected") for i in range(50)] + [("y", a, m, r, r, "extends", "extended_by", "approved"), ("z", m, a, r, r, "extended_by", "extends", "executed")]
     df = spark.createDataFrame(rows, "relation_id string, source_asset_id string, target_asset_id string, source_revision string, target_revision string, relation_type string, reciprocal_relation string, approval_status string")
@@ -162,3 +160,11 @@ def test_rows_without_a_fact_are_spread(spark):
     assert {x["relation_id"]: x["violations"] for x in out.collect()} == {f"x{i}": [] for i in range(50)} | {"y": ["duplicate_active_fact"], "z": ["duplicate_active_fact"]}
     windows = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in line]
     assert len(windows) == 2 and not any("target_asset_id" in w for w in windows) and any("w0" in w for w in windows)
+
+
+def test_terms_shuffle_texts_and_not_terms(spark):
+    df = spark.createDataFrame([(1, "alpha beta alpha"), (2, "beta gamma"), (2, "gamma"), (None, "beta only")], "id long, text string")
+    top = R.top_terms(df, "id", "text")
+    assert {(r["id"], r["term"], r["n"], r["rank"]) for r in top.where("id is not null").collect()} == {(1, "alpha", 2, 1), (1, "beta", 1, 2), (2, "gamma", 2, 1), (2, "beta", 1, 2)}
+    assert {r["term"]: r["df"] for r in R.document_frequency(top).collect()} == {"alpha": 1, "beta": 2, "gamma": 1, "only": 0}
+    assert top._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
