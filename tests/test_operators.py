@@ -168,3 +168,15 @@ def test_terms_shuffle_texts_and_not_terms(spark):
     assert {(r["id"], r["term"], r["n"], r["rank"]) for r in top.where("id is not null").collect()} == {(1, "alpha", 2, 1), (1, "beta", 1, 2), (2, "gamma", 2, 1), (2, "beta", 1, 2)}
     assert {r["term"]: r["df"] for r in R.document_frequency(top).collect()} == {"alpha": 1, "beta": 2, "gamma": 1, "only": 0}
     assert top._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_pages_are_classified_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        p = spark.range(1).select(F.lit(200).alias("status"), F.create_map(F.lit("Content-Type"), F.lit("text/html")).alias("headers"), F.lit("").alias("body"))
+        assert W.classify_responses(p).first()["failure_class"] == "empty_html"
+        assert int(spark.conf.get(key)) <= 500
+    finally:
+        spark.conf.set(key, old)
