@@ -132,6 +132,35 @@ def test_vault(spark, tmp_path):
     assert got["Title"]["eligible"] and got["Title"]["sections"]["One"] == "text\n" and got["x"]["exclusion_reason"] == "draft_excluded"
 
 
+def _shuffled(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    jvm = spark._jvm
+    none = jvm.java.util.ArrayList()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_retrieval_in_blocks_shuffles_terms_but_no_lists(spark, monkeypatch):
+    """Blocks change nothing, shared terms are the longest, and a term's assets are not sent to each of them."""
+    rng = random.Random(5)
+    pool = ["t" * rng.randrange(1, 9) + f"{k}" for k in range(180)]
+    held = {i: set(rng.sample(pool, 12)) for i in range(2700)}
+    rows = spark.createDataFrame([(i * 7919, t) for i, terms in held.items() for t in terms] + [(None, pool[0])], "id long, term string").repartition(4)
+    before = _shuffled(spark)
+    got = {(r["asset_a"], r["asset_b"]): r for r in R.retrieve_pairs(rows, 4, 3).collect()}
+    sent = _shuffled(spark) - before
+    assert got and sent < 4_000_000, sent
+    monkeypatch.setattr(R, "MIN_BLOCKS", 3)
+    monkeypatch.setattr(R, "MET_BLOCKS", 2)
+    monkeypatch.setattr(R, "CELLS", 1)
+    assert {(r["asset_a"], r["asset_b"]): r for r in R.retrieve_pairs(rows, 4, 3).collect()} == got
+    df = {t: sum(t in terms for terms in held.values()) + (t == pool[0]) for t in pool}
+    counts = {t for t, k in df.items() if k <= math.floor(4 * math.sqrt(len(held) + 1))}
+    for (a, b), r in got.items():
+        assert r["shared_terms"] == sorted(held[a // 7919] & held[b // 7919] & counts, key=lambda t: (-len(t), t))[:3]
+    assert R.retrieve_pairs(rows, 4, 0).columns == ["asset_a", "asset_b", "retrieval_score"]
+
+
 @pytest.mark.parametrize("kind", ["string", "long"])
 def test_retrieved_pairs_equal_brute_force(spark, kind):
     rng, name = random.Random(4), (lambda i: f"a{i:03d}") if kind == "string" else (lambda i: i)
