@@ -13,16 +13,17 @@ suffix of its past that is a state. The empty context has add-0.5 frequencies.
 
 Nothing of the model is held in one place: it grows with the corpus. Shards of words send (context, next word) pairs of
 one depth in packed blocks, a bucket holds contexts whole, adds up counts and answers each block; a shard then knows the
-probabilities of its own words and which contexts are worth another word. A context that occurs more than ``sure`` times
-is a state without a test (any divergence would pass it), its next words are spread over all buckets, and it keeps the
-share ``trust`` of its mass. Words and contexts are told apart by 64-bit hashes: two of n different ones clash with odds
+probabilities of its own words and which contexts are worth another word. The next words of a context that occurs more
+than ``spread`` times go to all buckets, whose sums for it are added up and handed to the shards (a number for each such
+context, of which there are few); where its words are counted changes no result. A caller may ask that a context of more
+than ``sure`` occurrences be a state without a test and keep the share ``trust`` of its mass; by default none is. Words and contexts are told apart by 64-bit hashes: two of n different ones clash with odds
 of n^2 / 2^65; the next words of a context by 39 bits of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +41,14 @@ _END = b" "  # no word is a space
 _END_HASH = np.uint64(0x5851F42D4C957F2D)
 _NEXT = np.uint64((1 << 40) - 1)
 _NONE = np.uint64(0)  # stands for no next word
+#: Occurrences beyond which a context's next words are counted in many buckets.
+SPREAD = 4_000_000
 _STEP = 1000.0  # log probabilities travel in thousandths
 
 
 @dataclass(frozen=True)
 class Shape:
-    """depth: most words of a context. tokens, types: of training. buckets: of an exchange. The rest: see above."""
+    """depth: most words of a context. tokens, types: of training. buckets: of an exchange. shares: by depth, C' of spread contexts. The rest: see above."""
 
     depth: int
     buckets: int
@@ -53,8 +56,10 @@ class Shape:
     types: int = 0
     least: int = 2
     prior: float = 1.0
-    sure: int = 4_000_000
+    sure: int | None = None
     trust: float = 0.9
+    spread: int = SPREAD
+    shares: dict[int, dict[int, int]] = field(default_factory=dict)
 
     @property
     def bar(self) -> float:
@@ -109,8 +114,8 @@ def _cut(shard_words: int):
 class _Level:
     """The pairs of one depth in a shard: by context, then by next word, with the positions at which they stand."""
 
-    def __init__(self, context: np.ndarray, word: np.ndarray, total: np.ndarray, learned: np.ndarray, log_p: np.ndarray, buckets: int, rank: np.ndarray | None = None) -> None:
-        """``word``: number of the next word, from 1; 0 asks for the context alone, which a context with a next word doesn't need. ``rank``: of the contexts, if known."""
+    def __init__(self, context: np.ndarray, word: np.ndarray, total: np.ndarray, learned: np.ndarray, log_p: np.ndarray, buckets: int, rank: np.ndarray | None, origin: np.ndarray, spread: int) -> None:
+        """``origin``: the contexts; ``context`` stands for one with its next word where it is counted in many buckets. ``word``: number of the next word, from 1; 0 asks for the context alone, which a context with a next word doesn't need. ``rank``: of the contexts, if known."""
         order = S.ascending_pairs(context, word, rank)
         context, word = context[order], word[order]
         new = np.ones(len(order), bool)
@@ -129,6 +134,7 @@ class _Level:
         at = np.flatnonzero(fresh)
         first = order[at]
         self.context, self.word, self.total, self.log_p = context[at], word[at], total[first], log_p[first]
+        self.origin, self.spread = origin[first], spread
         self.order, self.place, self.told, self.learned, self.buckets = order, place, ~alone, learned, buckets
 
     def blocks(self, hashes: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
@@ -139,7 +145,10 @@ class _Level:
         for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
             if j > i:
                 context = self.context[i:j]
-                yield b, [S.squeeze_sorted(context), S.squeeze(nxt[i:j]), S.squeeze(count[i:j]), S.squeeze(self.total[i:j][_heads(context)]), S.squeeze(self.log_p[i:j])]
+                heads = _heads(context)
+                total = self.total[i:j][heads]
+                apart = self.origin[i:j][heads][total > self.spread]
+                yield b, [S.squeeze_sorted(context), S.squeeze(nxt[i:j]), S.squeeze(count[i:j]), S.squeeze(total), S.squeeze(self.log_p[i:j]), S.squeeze(apart) if len(apart) else b""]
 
 
 def _heads(ascending: np.ndarray) -> np.ndarray:
@@ -172,7 +181,7 @@ class _Walk:
         cut = S.cut_points(key, self.shape.buckets)
         for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
             if j > i:
-                yield b, [S.squeeze_sorted(key[i:j]), b"", S.squeeze(count[i:j]), b"", b""]
+                yield b, [S.squeeze_sorted(key[i:j]), b"", S.squeeze(count[i:j]), b"", b"", b""]
 
     def begin(self, replies: list[bytes]) -> None:
         """Take the replies for the words."""
@@ -197,17 +206,18 @@ class _Walk:
             context = S.chain(self.state[fit], self.hashes[self.words[at - k]] ^ np.uint64(k))
         most, log_p = np.minimum(self.seen[at], total), _thousandths(self.p[at])
         told = most >= shape.least
-        sure = total > shape.sure
+        sure = total > shape.sure if shape.sure is not None else np.zeros(len(at), bool)
+        apart = sure | (total > shape.spread)
         if k == shape.depth:  # no deeper context needs the counts of pairs that can't diverge
             told &= sure | _diverge(most, total, log_p, shape)
         word = np.where(told, self.words[at] + 1, 0).astype(np.uint64)
-        self.at, self.total, self.state, self.sure, self.told, key = at, total, context, sure, told, context
+        self.at, self.total, self.state, self.sure, self.apart, self.told, key = at, total, context, sure, apart, told, context
         self.asked = np.arange(len(at))
-        if sure.any():  # their next words go to all buckets; without one there is nothing to ask
-            key, rank = np.where(sure, S.chain(context, self.hashes[self.words[at]]), context), None
-            self.asked = np.flatnonzero(told | ~sure)
-            key, word, total, at, log_p = (x[self.asked] for x in (key, word, total, at, log_p))
-        return _Level(key, word, total.astype("<u8"), self.learned[at], log_p, shape.buckets, rank)
+        if apart.any():  # their next words go to all buckets; without one there is nothing to ask
+            key, rank = np.where(apart, S.chain(context, self.hashes[self.words[at]]), context), None
+            self.asked = np.flatnonzero(told | ~apart)
+            key, word, total, at, log_p, context = (x[self.asked] for x in (key, word, total, at, log_p, context))
+        return _Level(key, word, total.astype("<u8"), self.learned[at], log_p, shape.buckets, rank, context, shape.spread)
 
     def learn(self, k: int, replies: list[bytes]) -> None:
         """Take the replies for depth k: probabilities, and the tokens whose context is a state."""
@@ -218,6 +228,7 @@ class _Walk:
         at, told = self.at, self.told[self.asked]
         c, held, share = (np.zeros(len(at), np.int64) for _ in range(3))
         share[self.asked] = kept[level.group]
+        share[self.apart] = _looked_up(shape.shares.get(k, {}), self.state[self.apart])
         own, asked = level.pair[told], self.asked[told]
         c[asked], held[asked] = count[own], np.where(shown, count, 0)[own]
         p, s = self.p[at], self.total
@@ -229,6 +240,16 @@ class _Walk:
         self.seen[at] = c
 
 
+def _looked_up(shares: dict[int, int], contexts: np.ndarray) -> np.ndarray:
+    """The share of each context, 0 without one."""
+    if not shares:
+        return np.zeros(len(contexts), np.int64)
+    known = np.array(sorted(shares), np.int64)
+    value, contexts = np.array([shares[c] for c in known.tolist()], np.int64), contexts.view(np.int64)
+    at = np.minimum(np.searchsorted(known, contexts), len(known) - 1)
+    return np.where(known[at] == contexts, value[at], 0)
+
+
 def _diverge(count: np.ndarray, total: np.ndarray, log_p: np.ndarray, shape: Shape) -> np.ndarray:
     """Whether a next word follows a context so much oftener than the shorter one foresees that chance hardly does it."""
     gain = count * (np.log(np.maximum(count, 1) / np.maximum(total, 1)) + log_p / _STEP)
@@ -249,7 +270,7 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-_REQUEST = "bucket int, shard long, context binary, next binary, count binary, total binary, log_p binary"
+_REQUEST = "bucket int, shard long, context binary, next binary, count binary, total binary, log_p binary, apart binary"
 
 
 def _advance(row: dict, shape: Shape, k: int) -> _Walk:
@@ -274,16 +295,16 @@ def _send(shape: Shape, k: int):
     return run
 
 
-def _count_words(group: pa.Table) -> tuple[list[bytes], int]:
+def _count_words(group: pa.Table) -> tuple[list[bytes], int, dict[int, int]]:
     keys = [S.expand_sorted(x.as_py()) for x in group["context"]]
     counts = np.concatenate([S.expand(x.as_py(), "<u4").astype(np.int64) for x in group["count"]])
     total, place = S.sums(np.concatenate(keys), counts)
     ends = np.cumsum([len(k) for k in keys])[:-1]
-    return [S.squeeze(x) for x in np.split(total[place], ends)], int((total > 0).sum())
+    return [S.squeeze(x) for x in np.split(total[place], ends)], int((total > 0).sum()), {}
 
 
 def _count_pairs(shape: Shape):
-    def merge(group: pa.Table) -> tuple[list[bytes], int]:
+    def merge(group: pa.Table) -> tuple[list[bytes], int, dict[int, int]]:
         contexts = [S.expand_sorted(x.as_py()) for x in group["context"]]
         ends = np.cumsum([len(c) for c in contexts])[:-1]
         context = np.concatenate(contexts)
@@ -305,11 +326,31 @@ def _count_pairs(shape: Shape):
         pair_at, group_at = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
         pair_at[order], group_at[order] = np.cumsum(new_pair) - 1, group_of
         out = [_pack(c[pair], share[at[_heads(own)]]) for own, pair, at in zip(contexts, np.split(pair_at, ends), np.split(group_at, ends), strict=True)]
-        return out, int((share > 0).sum())
+        sums: dict[int, int] = {}
+        spread = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+        for own, at, t, x in zip(contexts, np.split(group_at, ends), totals, group["apart"], strict=True):
+            if x.as_py():
+                spread.append((at[_heads(own)][t > shape.spread], S.expand(x.as_py(), "<u8")))
+        groups, first = np.unique(np.concatenate([g for g, _ in spread]), return_index=True)  # a pair may come from many shards
+        for c, n in zip(np.concatenate([c for _, c in spread])[first].view(np.int64).tolist(), share[groups].tolist(), strict=True):
+            sums[c] = sums.get(c, 0) + n
+        return out, int((share > 0).sum()), sums
 
     return merge
 
 
+def _answer(requests: DataFrame, merge) -> DataFrame:
+    """Replies as ``shards.answer`` gives them, with a bucket's sums for spread contexts in its first one."""
+
+    def run(group: pa.Table) -> pa.Table:
+        replies, found, sums = merge(group)
+        rest = len(replies) - 1
+        lists = [pa.array([list(x)] + [None] * rest, pa.list_(pa.int64())) for x in (sums.keys(), sums.values())]
+        return pa.table({"shard": group["shard"], "bucket": group["bucket"], "reply": pa.array(replies, pa.binary()), "found": pa.array([found] + [0] * rest, pa.int64()), "context": lists[0], "share": lists[1]})
+
+    return requests.groupBy("bucket").applyInArrow(run, f"{S.REPLY}, context array<long>, share array<long>")
+
+
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -328,7 +369,7 @@ def _score(shape: Shape):
     return run
 
 
-def score(docs: DataFrame, learn: Column, depth: int = 3, least: int = 2, prior: float = 1.0, sure: int = 4_000_000, trust: float = 0.9, id_col: str = "doc_id", text_col: str = "text", shard_words: int = S.SHARD_WORDS) -> DataFrame:
+def score(docs: DataFrame, learn: Column, depth: int = 3, least: int = 2, prior: float = 1.0, sure: int | None = None, trust: float = 0.9, id_col: str = "doc_id", text_col: str = "text", shard_words: int = S.SHARD_WORDS, spread: int = SPREAD) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 of probabilities).
 
     The tree learns from the documents for which ``learn`` holds (a null counts as no), and all documents are scored. A
@@ -341,17 +382,20 @@ def score(docs: DataFrame, learn: Column, depth: int = 3, least: int = 2, prior:
         parts, path = materialise(rows.mapInArrow(_cut(shard_words), _SHARDS), "shards", "zstd")
     sizes = parts.agg(F.sum("n_words").alias("all"), F.sum("n_learned").alias("learned")).first()
     tokens = sizes["learned"] or 0
-    shape = Shape(depth, S.buckets_for(sizes["all"] or 0), tokens, 0, least, prior, sure, trust)
+    shape = Shape(depth, S.buckets_for(sizes["all"] or 0), tokens, 0, least, prior, sure, trust, spread)
     replies: dict[str, DataFrame] = {}
     paths = [path]
     with small_batches(spark, 2):
         for k in range(depth + 1):
             request = S.with_replies(parts, replies).mapInArrow(_send(shape, k), _REQUEST)
-            replies[f"r{k}"], path = materialise(S.answer(request, _count_words if k == 0 else _count_pairs(shape)), f"depth-{k}")
+            replies[f"r{k}"], path = materialise(_answer(request, _count_words if k == 0 else _count_pairs(shape)), f"depth-{k}")
             paths.append(path)
             if k == 0:
                 types = replies["r0"].agg(F.sum("found")).first()[0] or 0
-                shape = Shape(depth, shape.buckets, tokens, types, least, prior, sure, trust)
+                shape = replace(shape, types=types)
+            else:
+                sums = replies[f"r{k}"].where("size(context) > 0").select(F.explode(F.arrays_zip("context", "share")).alias("z")).groupBy("z.context").agg(F.sum("z.share"))
+                shape = replace(shape, shares=shape.shares | {k: dict(map(tuple, sums.collect()))})  # at most tokens / spread contexts
         out = S.with_replies(parts, replies).mapInArrow(_score(shape), _SCORES)
         out, _ = materialise(out.withColumn("train_tokens", F.lit(tokens).cast("long")), "scores")
     for path in paths:

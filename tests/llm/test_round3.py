@@ -197,6 +197,15 @@ def test_suffix_tree_equals_its_definition(spark, monkeypatch):
     close(tree(spark, rows, depth=3, shard_words=700), want)
 
 
+def test_where_a_context_is_counted_changes_no_score(spark, monkeypatch):
+    """Contexts whose next words are counted in all buckets, as frequent ones are, take no other formula."""
+    rows = prose(11, 60, 30)
+    want = tree(spark, rows, depth=3, shard_words=600)
+    monkeypatch.setattr(shards, "BUCKET_KEYS", 500)
+    for spread in (1, 8):
+        assert tree(spark, rows, depth=3, shard_words=600, spread=spread) == want
+
+
 def test_contexts_spread_over_buckets_keep_their_sums(spark, monkeypatch):
     """With every context taken as sure, the trusted shares of all next words and the rest must still add up."""
     rows = prose(9, 60, 30)
