@@ -40,8 +40,6 @@ MIN_HEAVY = 32
 #: Columns up to so many documents are multiplied as pairs of rows, longer ones in blocks of BLOCK documents.
 SHORT = 128
 BLOCK = 768
-#: Rows a side when only sizes and places are compared.
-LIGHT_BLOCK = 2048
 #: Ids that may be broadcast (8 MB) to pick the sets to verify; beyond it the sets are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Rows of short columns that one task multiplies, and shingles that a block of documents holds, on average.
@@ -239,19 +237,44 @@ def overlaps(rows: list[np.ndarray], cols: list[np.ndarray], width: int = 4096)
     return np.rint(out).astype(np.int64)
 
 
-def _may_link(percent: int):
-    """Of two blocks of a column's rows, without their sets: those that the bounds let link with some row of the other side."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        first, second = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if not len(first) or not len(second):
-            return pd.DataFrame({"shingle": [], "key": []}, dtype="int64")
-        n1, n2 = first["n"].to_numpy(np.int64)[:, None], second["n"].to_numpy(np.int64)[None, :]
-        left = np.minimum(n1 - first["pos"].to_numpy(np.int64)[:, None], n2 - second["pos"].to_numpy(np.int64)[None, :])
-        ok = linked(left, n1, n2, percent) & (first["comp"].to_numpy()[:, None] != second["comp"].to_numpy()[None, :])
-        return pd.concat([first.loc[ok.any(1), ["shingle", "key"]], second.loc[ok.any(0), ["shingle", "key"]]])
-
-    return run
+def _bests(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For every asked size of a column, the farthest end among the sizes up to it, and the farthest of any other component."""
+    pdf = pdf.sort_values(["at", "asked"], kind="stable")
+    best, whose, second, out = -1, None, -1, []
+    for at, asked, end, comp in zip(*(pdf[c].tolist() for c in ("at", "asked", "end", "comp")), strict=True):
+        if asked:
+            if whose is not None:
+                out.append((at, best, whose, second))
+        elif comp == whose:
+            best = max(best, end)
+        elif end > best:
+            best, whose, second = end, comp, best
+        else:
+            second = max(second, end)
+    out = pd.DataFrame(out, columns=["limit", "best", "whose", "second"]).astype("int64")
+    return out.assign(shingle=int(pdf["shingle"].iloc[0]))[["shingle", "limit", "best", "whose", "second"]]
+
+
+def _may_link(wide: DataFrame, percent: int) -> DataFrame:
+    """Rows of columns that the bounds let link with some row of their column of another component.
+
+    Sizes n1, n2 and what is left behind the places, r1, r2, let a pair link if ``p (n1 + n2) <= (100 + p) min(r1, r2)``:
+    each row has a largest size it may meet, ``((100 + p) r - p n) // p``, and two rows may link if neither is larger than
+    the other allows. So a row asks for the farthest such end among the sizes up to its own end. What a column sends to
+    be swept is two rows a size and one a different end, however many documents hold it; no pair of rows is formed.
+    """
+    r = F.col("n").cast("long") - F.col("pos")
+    end = F.floor(((100 + percent) * r - percent * F.col("n").cast("long")) / F.lit(percent))
+    rows = wide.withColumn("limit", end.cast("long")).where("limit > 0")
+    top = rows.groupBy("shingle", "n", "comp").agg(F.max("limit").alias("end"))
+    order = Window.partitionBy("shingle", "n").orderBy(F.desc("end"), "comp")
+    top = top.withColumn("k", F.row_number().over(order)).where("k <= 2")
+    none = F.lit(-1).cast("long")
+    swept = top.select("shingle", F.col("n").cast("long").alias("at"), F.lit(False).alias("asked"), "end", "comp")
+    asked = rows.select("shingle", F.col("limit").alias("at"), F.lit(True).alias("asked"), none.alias("end"), none.alias("comp")).distinct()
+    bests = swept.unionByName(asked).groupBy("shingle").applyInPandas(_bests, "shingle long, limit long, best long, whose long, second long")
+    other = F.when(F.col("comp") == F.col("whose"), F.col("second")).otherwise(F.col("best"))
+    return rows.join(bests, ["shingle", "limit"]).where(other >= F.col("n")).select("shingle", "key", "n", "comp")
 
 
 def _in_blocks(members: DataFrame, size: int, shingles: int) -> DataFrame:
@@ -408,8 +431,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent
         ends = pairs.select(F.col("src").alias("key")).unionByName(pairs.select(F.col("dst").alias("key")))
         more.append(_with_sets(pairs, _sets_of(known, reps, ends, write)).mapInPandas(_verify(percent), "src long, dst long"))
     wide = left.where(F.col("long") > SHORT).select("shingle", "key", "n", "pos", "comp")
-    may = _in_blocks(wide, LIGHT_BLOCK, 1 << 62).groupBy("shingle", "i", "j").applyInPandas(_may_link(percent), "shingle long, key long")
-    wide = write(wide.select("shingle", "key", "n", "comp").join(may.distinct(), ["shingle", "key"], "left_semi"), "wide")
+    wide = write(_may_link(wide, percent), "wide")
     if wide.head(1):
         blocks = _in_blocks(wide, BLOCK, BLOCK_SHINGLES).join(_sets_of(known, reps, wide.select("key"), write), "key")
         more.append(blocks.groupBy("shingle", "i", "j").applyInPandas(_block_links(percent), "src long, dst long"))
