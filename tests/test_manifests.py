@@ -115,3 +115,16 @@ def test_quality_and_readiness(spark, good):
     ids = [(record["material_id"], record["revision_id"], s) for s in ("passed", "failed")]
     for row, n in ((ids[0], 1), (ids[1], 0)):
         assert M.ready_sources(materials, spark.createDataFrame([row], "material_id string, revision_id string, status string")).count() == n
+
+
+def test_records_are_parsed_once_each_and_not_by_the_filter_on_problems(spark, good):
+    from attestra.plans import ledger
+
+    record, _ = good
+    rows = spark.createDataFrame([(json.dumps(record),), (json.dumps(change(record, ["content", "raw"], None)),), (json.dumps(change(record, ["source"], "x")),)], "record string")
+    checked = M.check_materials(rows, S)
+    assert "_parts" not in checked.columns and "get_json_object" not in checked._jdf.queryExecution().toString()
+    assert [r["problem"] for r in checked.collect()] == [None, "content_keys", "source_keys"]
+    sound = ledger._sound(checked.select("material", "problem"))
+    assert sound._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 0
+    assert [r["material"]["revision_id"] for r in sound.collect()] == [record["revision_id"]]
