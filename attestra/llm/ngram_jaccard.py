@@ -45,6 +45,10 @@ BROADCAST_IDS = 1_000_000
 #: Rows of short columns that one task multiplies, and shingles that a block of documents holds, on average.
 PRODUCT_ROWS = 20_000
 BLOCK_SHINGLES = 1_000_000
+#: Documents of an Arrow batch that goes to Python, and postings of one that comes back: the executor's JVM holds both
+#: outside its heap, several at once, and keeps the memory.
+BATCH_DOCUMENTS = 200
+BATCH_POSTINGS = 32_768
 
 
 def _mix(w: np.ndarray, width: int) -> np.ndarray:
@@ -154,7 +158,9 @@ def _postings(percent: int, heavy, light_only: bool):
             if out:
                 columns = [np.concatenate(c) for c in zip(*out, strict=True)]
                 names = ["shingle", "key", "n", "pos", "hot"][: 1 if light_only else 5]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns[: len(names)]], names)
+                for at in range(0, len(columns[0]), BATCH_POSTINGS):
+                    part = [pa.array(c[at : at + BATCH_POSTINGS]) for c in columns[: len(names)]]
+                    yield pa.RecordBatch.from_arrays(part, names)
 
     return run
 
@@ -347,7 +353,7 @@ def jaccard_components(
     one document a row, all in one component if their sets link, and rows without an id stay alone with a null
     component. Other columns are not read. An empty table gives no rows.
     """
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession, BATCH_DOCUMENTS):
         return _components(docs, id_col, text_col, width, percent)
 
 
