@@ -3,9 +3,9 @@
 Equal vectors are one class. Classes are dealt to shards by a hash and each shard gets a graph. An audit searches a
 sample of classes in every shard and by brute force, and doubles the beam until the wanted share of the sample's true
 links is found; the sample itself grows until it holds a stated number of them. Then all classes, in blocks, query
-every shard: a task loads a graph once and blocks stream past it. A beam that holds links alone is widened. What is
-found counts by cosine in double precision on the original vectors; a task sends each query's number of links and only
-those links that join components, which are united across tasks.
+every shard: a task loads a graph once and blocks stream past it. A query whose beam holds links alone is multiplied
+with the whole shard. What is found counts by cosine in double precision on the original vectors; a task sends each
+query's number of links and only pairs that join components, which are united across tasks.
 """
 
 from __future__ import annotations
@@ -32,8 +32,10 @@ CHUNK_BLOCKS = 256
 TASKS = 64
 #: Classes audited at first and at most, and the true links that an audit must see unless it holds all it may.
 AUDIT_ROWS, AUDIT_MOST, AUDIT_LINKS = 512, 8192, 100
-#: Single precision may be off by so much; candidates down to it are verified in double precision.
+#: Single precision may be off by so much; candidates as near to the threshold are verified in double precision.
 SLACK = 1e-4
+#: Similarities that a product with a whole shard holds at once (16 MB).
+PRODUCT_CELLS = 4_000_000
 #: A class of more copies than this share of all rows gets its result by a broadcast, so there are at most 1000 of them.
 HOT_SHARE = 0.001
 
@@ -56,50 +58,49 @@ def _load(blob: bytes) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
     return Graph(unit(x.astype(np.float64)).astype(np.float32), [near.astype(np.int64) for near in layers]), ids, copies, x
 
 
-def _union(src: np.ndarray, dst: np.ndarray) -> list[tuple[int, int]]:
-    """The pairs that join components which earlier pairs left apart."""
-    boss: dict[int, int] = {}
-
-    def top(v: int) -> int:
-        while (u := boss.get(v, v)) != v:
-            boss[v] = v = boss.get(u, u)
-        return v
-
-    out = []
-    for a, b in zip(src.tolist(), dst.tolist(), strict=True):
-        u, v = top(a), top(b)
-        if u != v:
-            boss[max(u, v)] = min(u, v)
-            out.append((a, b))
-    return out
-
-
-def links_of(graph: Graph, q: np.ndarray, least: float, ef: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) with similarity at least ``least`` as far as found; a beam of links alone is widened until it isn't."""
-    rows, width, a, b = np.arange(len(q)), min(ef, len(graph.x)), [], []
-    while len(rows):
-        ids, sims = graph.search(q[rows], width)
-        hit = sims >= least
-        full = hit.all(1) if width < len(graph.x) else np.zeros(len(rows), bool)
-        r, c = np.nonzero(hit & ~full[:, None])
-        a.append(rows[r])
-        b.append(ids[r, c])
-        rows, width = rows[full], min(4 * width, len(graph.x))
-    empty = np.empty(0, np.int64)
-    return np.concatenate([empty, *a]), np.concatenate([empty, *b])
-
-
-def _true_links(graph: Graph, q: np.ndarray, least: float) -> np.ndarray:
-    """Keys query * nodes + node of all pairs of a block, by brute force."""
-    out = [np.empty(0, np.int64)]
-    for i in range(0, len(q), 256):
-        r, c = np.nonzero(q[i : i + 256] @ graph.x.T >= least)
-        out.append((r + i) * len(graph.x) + c)
-    return np.concatenate(out)
+def _union(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """Pairs (id, smallest id of its component) that join what the given pairs join; smallest ids themselves have none."""
+    nodes, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    s, d = at[: len(src)], at[len(src) :]
+    boss = np.arange(len(nodes))
+    while len(s):
+        u, v = boss[s], boss[d]
+        apart = u != v
+        s, d, u, v = s[apart], d[apart], u[apart], v[apart]
+        np.minimum.at(boss, np.maximum(u, v), np.minimum(u, v))
+        while (boss[boss] != boss).any():
+            boss = boss[boss]
+    under = np.flatnonzero(boss != np.arange(len(nodes)))
+    return np.stack([nodes[under], nodes[boss[under]]], 1)
+
+
+def _whole(graph: Graph, q: np.ndarray, rows: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, node, similarity) of all links of some queries of a block, from products with the whole shard."""
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))]
+    step = max(1, PRODUCT_CELLS // len(graph.x))
+    for i in range(0, len(rows), step):
+        sims = q[rows[i : i + step]] @ graph.x.T
+        r, c = np.nonzero(sims >= least)
+        out.append((rows[i + r], c, sims[r, c]))
+    return tuple(np.concatenate(v) for v in zip(*out, strict=True))
+
+
+def links_of(graph: Graph, q: np.ndarray, least: float, ef: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, node, similarity) at ``least`` or more as far as found; a query whose beam holds links alone may have any
+    number of them and is multiplied with the whole shard, as a beam wide enough would cost the square of that number."""
+    if not len(q):
+        return _whole(graph, q, np.arange(0), least)
+    width = min(ef, len(graph.x))
+    ids, sims = graph.search(q, width)
+    hit = sims >= least
+    full = hit.all(1) if width < len(graph.x) else np.zeros(len(q), bool)
+    r, c = np.nonzero(hit & ~full[:, None])
+    more = _whole(graph, q, np.flatnonzero(full), least)
+    return tuple(np.concatenate(v) for v in zip((r, ids[r, c], sims[r, c]), more, strict=True))
 
 
 def _audit(sample, least: float, ef: int):
-    """(ef, links, found) of a shard for a doubling series of beams; a vector's match with itself doesn't count."""
+    """(links, found) of a shard for a beam; a vector's match with itself doesn't count."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -108,14 +109,10 @@ def _audit(sample, least: float, ef: int):
                 qids, q = sample.value.get(int(dim), (np.empty(0, np.int64), np.empty((0, int(dim)), np.float32)))
                 n = len(graph.x)
                 other = lambda keys: keys[qids[keys // n] != ids[keys % n]]  # noqa: B023, E731
-                truth, out, width, found = other(_true_links(graph, q, least)), [], ef, -1
-                for _ in range(12):
-                    if found < len(truth):  # a beam that found all is not tried wider
-                        a, b = links_of(graph, q, least, width)
-                        found = int(np.isin(truth, a * n + b).sum())
-                    out.append((width, len(truth), found))
-                    width *= 2
-                yield pd.DataFrame(out, columns=["ef", "links", "found"]).astype("int64")
+                a, b, _ = _whole(graph, q, np.arange(len(q)), least)
+                truth = other(a * n + b)
+                a, b, _ = links_of(graph, q, least, ef)
+                yield pd.DataFrame({"links": [len(truth)], "found": [int(np.isin(truth, a * n + b).sum())]})
 
     return run
 
@@ -124,7 +121,8 @@ def choose_beam(classes: DataFrame, graphs: DataFrame, n: int, threshold: float,
     """The least beam of ef, 2 ef, 4 ef ... that finds ``recall`` of the sample's true links; those links; the recall.
 
     The sample are the classes with the smallest hashes, AUDIT_MOST at most, whatever the table's size; the driver
-    holds it and it is broadcast. Without any true link the smallest beam is taken and the recall is 1.
+    holds it and it is broadcast. A beam is tried only where all shards together miss too many links of the one before,
+    as a search costs about the square of its beam. Without any true link the smallest beam is taken and the recall is 1.
     """
     spark = classes.sparkSession
     rows = AUDIT_ROWS
@@ -132,15 +130,21 @@ def choose_beam(classes: DataFrame, graphs: DataFrame, n: int, threshold: float,
         got = classes.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(rows).select("id", "v", "dim").toPandas()
         sample = {int(d): (p["id"].to_numpy(np.int64), unit(matrix(p["v"])).astype(np.float32)) for d, p in got.groupby("dim")}
         shared = spark.sparkContext.broadcast(sample)
-        seen = graphs.mapInPandas(_audit(shared, threshold - SLACK, ef), "ef long, links long, found long")
-        table = seen.groupBy("ef").agg(F.sum("links").alias("links"), F.sum("found").alias("found")).orderBy("ef").collect()
-        if not table:
-            return ef, 0, 1.0
-        if table[0]["links"] >= AUDIT_LINKS or rows >= min(n, AUDIT_MOST):
+
+        def seen(width: int) -> tuple[int, int]:
+            met = graphs.mapInPandas(_audit(shared, threshold - SLACK, width), "links long, found long")  # noqa: B023
+            return tuple(met.agg(F.coalesce(F.sum("links"), F.lit(0)), F.coalesce(F.sum("found"), F.lit(0))).first())
+
+        links, found = seen(ef)
+        if links >= AUDIT_LINKS or rows >= min(n, AUDIT_MOST):
             break
         rows *= 4
-    best = next((r for r in table if r["found"] >= recall * r["links"]), table[-1])
-    return best["ef"], best["links"], best["found"] / best["links"] if best["links"] else 1.0
+    for _ in range(11):
+        if found >= recall * links:
+            break
+        ef *= 2
+        links, found = seen(ef)
+    return ef, links, found / links if links else 1.0
 
 
 def _search(threshold: float, ef: int, kind: str):
@@ -157,16 +161,16 @@ def _search(threshold: float, ef: int, kind: str):
                 g, ids, copies, x = held
                 qids = np.frombuffer(qids, np.int64)
                 q = np.frombuffer(qv, kind).reshape(len(qids), -1).astype(np.float64)
-                a, b = links_of(g, unit(q).astype(np.float32), threshold - SLACK, ef)
-                ok = qids[a] != ids[b]
-                a, b = a[ok], b[ok]
-                keep = np.zeros(len(a), bool)
-                for i in range(0, len(a), 50_000):
-                    keep[i : i + 50_000] = cosines(q[a[i : i + 50_000]], x[b[i : i + 50_000]].astype(np.float64)) >= threshold
-                a, b = a[keep], b[keep]
+                a, b, sims = links_of(g, unit(q).astype(np.float32), threshold - SLACK, ef)
+                keep, ok = sims >= threshold + SLACK, qids[a] != ids[b]
+                doubt = np.flatnonzero(ok & ~keep)
+                for i in range(0, len(doubt), 50_000):
+                    k = doubt[i : i + 50_000]
+                    keep[k] = cosines(q[a[k]], x[b[k]].astype(np.float64)) >= threshold
+                a, b = a[keep & ok], b[keep & ok]
                 others = np.bincount(a, copies[b], len(qids)).astype(np.int64)
                 linked = np.flatnonzero(others)
-                pairs = np.array(_union(qids[a], ids[b]), np.int64).reshape(-1, 2)
+                pairs = _union(qids[a], ids[b])
                 yield pd.DataFrame(
                     {"src": np.concatenate([qids[linked], pairs[:, 0]]), "dst": np.concatenate([np.full(len(linked), -1), pairs[:, 1]]),
                      "others": np.concatenate([others[linked], np.zeros(len(pairs), np.int64)])}
