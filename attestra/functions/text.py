@@ -228,13 +228,18 @@ def role_text(section_map: Column, pattern: str) -> Column:
     return F.array_join(F.map_values(F.map_filter(section_map, lambda k, v: k.rlike(pattern))), "\n")
 
 
+def shingled(text: Column) -> Column:
+    """The letters and digits of a text, lower-cased: what ``shingles`` cuts."""
+    return F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}]+", "")
+
+
 def shingles(text: Column, width: int = FIVE) -> Column:
     """Distinct character n-grams of the letters and digits, lower-cased; the whole if it is shorter.
 
     One pass of a look-ahead finds them all. Texts with characters beyond 16 bits, which a look-ahead would halve, are cut
     into characters first; the cut is bound to a lambda, so that it is made once a text.
     """
-    t = F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}]+", "")
+    t = shingled(text)
     fast = F.regexp_extract_all(t, F.lit(f"(?=(.{{{width}}}))"), F.lit(1))
     at = lambda c: F.sequence(F.lit(1), F.size(c) - width + 1)
     slow = F.transform(F.array(F.split(t, "")), lambda c: F.transform(at(c), lambda i: F.array_join(F.slice(c, i, F.lit(width)), "")))[0]
