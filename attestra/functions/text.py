@@ -92,18 +92,29 @@ def _without_repeats(text: Column) -> Column:
     return F.regexp_replace(text, "(?d)(.{2,16})\\1+", "$1")
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)``, however often it names the value, which is bound to a lambda and worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _with_stops(text: Column) -> Column:
-    out = text
-    for marker in DISCOURSE_MARKERS:
-        out = F.regexp_replace(out, f"(?U)(?<=[^{SENTENCE_END}\\s])(?={marker})", "。")
-    return F.when(text.rlike(f"[{CJK}]"), out).otherwise(text)
+    def stopped(t: Column) -> Column:
+        out = t
+        for marker in DISCOURSE_MARKERS:
+            out = F.regexp_replace(out, f"(?U)(?<=[^{SENTENCE_END}\\s])(?={marker})", "。")
+        return F.when(t.rlike(f"[{CJK}]"), out).otherwise(t)
+
+    return _once(text, stopped)
+
+
+def _with_end(text: Column) -> Column:
+    end = F.when(text.rlike(f"[{CJK}]"), "。").otherwise(".")
+    return F.when((text != "") & ~text.rlike(f"[{SENTENCE_END}]$"), F.concat(text, end)).otherwise(text)
 
 
 def clean(text: Column) -> Column:
     """A spoken fragment as readable text: see ``clean_steps`` for what was applied."""
-    stopped = _with_stops(_without_repeats(squeeze(text)))
-    end = F.when(stopped.rlike(f"[{CJK}]"), "。").otherwise(".")
-    return F.when((stopped != "") & ~stopped.rlike(f"[{SENTENCE_END}]$"), F.concat(stopped, end)).otherwise(stopped)
+    return _once(_with_stops(_without_repeats(squeeze(text))), _with_end)
 
 
 def clean_steps(text: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,7 +40,10 @@ def drop_repeats(rows: DataFrame, key: str, order: list[str], text_col: str = "t
     the same rows as comparing with the last kept one.
     """
     t = T.clean(F.col(text_col)) if cleaned else F.col(text_col)
-    df = rows.withColumn(text_col, t).where(F.col(text_col) != "").withColumn("print", T.fingerprint(F.col(text_col)))
+    # each text is cleaned once: a filter on it would be pushed below and clean it again wherever it names it
+    one = F.transform(F.array(t), lambda c: F.struct(c.alias(text_col), T.fingerprint(c).alias("print")))
+    rest = [c for c in rows.columns if c != text_col]
+    df = rows.select(*rest, F.inline(F.filter(one, lambda x: x[text_col] != ""))).select(*rows.columns, "print")
     before = F.lag("print").over(Window.partitionBy(key).orderBy(*order))
     return df.withColumn("before", before).where((F.col("print") == "") | ~F.col("print").eqNullSafe(F.col("before"))).drop("print", "before")
 
@@ -70,40 +75,67 @@ def paragraphs(segments: DataFrame, key: str, target: int = 420, most: int = 760
 
     A paragraph ends at a sentence end past ``target`` characters or when it lasts ``seconds``; a segment that would pass
     ``most`` starts a new one, and a longer segment is split. The time since the old start still counts after such a
-    start. One conversation or transcript is folded at a time.
+    start. Segments stream through a task in order, many conversations or transcripts a batch; a task holds one paragraph.
     """
     kind = dict(segments.dtypes)[key]
     schema = f"{key} {kind}, paragraph_id string, start_time double, end_time double, text string, segment_ids array<string>"
+    names = [key, "paragraph_id", "start_time", "end_time", "text", "segment_ids"]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        state = {"text": "", "ids": [], "start": 0.0, "end": 0.0}
+        whose, n, text, ids, start, end = None, 0, "", [], 0.0, 0.0
+
+        def put(begin: float, until: float, piece: str, of: list) -> None:
+            nonlocal n
+            n += 1
+            out.append((whose, f"paragraph-{n:04d}", begin, until, piece, of))
 
         def flush() -> None:
-            if state["text"]:
-                out.append((state["start"], state["end"], state["text"].strip(), state["ids"]))
-                state.update(text="", ids=[], start=0.0, end=0.0)
-
-        for s in pdf.sort_values(["start_time", "end_time", "pos"], kind="stable").itertuples():
-            if len(s.text) > most:
-                flush()
-                out.extend((s.start_time, s.end_time, p, [s.segment_id]) for p in split_oversized(s.text, target, most))
-                continue
-            if not state["text"]:
-                state["start"] = s.start_time
-            both = _joined(state["text"], s.text)
-            lasts = max(s.end_time, state["end"]) - state["start"]
-            if state["text"] and len(both) > most:
-                flush()
-                state["start"], both = s.start_time, s.text
-            state.update(text=both, ids=[*state["ids"], s.segment_id], end=max(state["end"], s.end_time))
-            if (len(both) >= target and both[-1] in T.SENTENCE_END) or lasts >= seconds:
-                flush()
+            nonlocal text, ids, start, end
+            if text:
+                put(start, end, text.strip(), ids)
+                text, ids, start, end = "", [], 0.0, 0.0
+
+        def written(key_type: pa.DataType) -> pa.RecordBatch:
+            types = [key_type, pa.string(), pa.float64(), pa.float64(), pa.string(), pa.list_(pa.string())]
+            columns = zip(*out, strict=True) if out else [()] * len(types)
+            done = [pa.array(c, t, from_pandas=k in (2, 3)) for k, (c, t) in enumerate(zip(columns, types, strict=True))]
+            out.clear()
+            return pa.RecordBatch.from_arrays(done, names)
+
+        key_type = None
+        for b in batches:
+            key_type = b.column(0).type
+            times = [b.column(k).to_numpy(zero_copy_only=False).tolist() for k in (1, 2)]
+            for k, begin, until, segment, said, place in zip(b.column(0).to_pylist(), *times, *(b.column(k).to_pylist() for k in (3, 4, 5)), strict=True):
+                if place == 1:
+                    flush()
+                    whose, n, ids, end = k, 0, [], 0.0
+                if len(said) > most:
+                    flush()
+                    for piece in split_oversized(said, target, most):
+                        put(begin, until, piece, [segment])
+                    continue
+                if not text:
+                    start = begin
+                both = _joined(text, said)
+                lasts = max(until, end) - start
+                if text and len(both) > most:
+                    flush()
+                    start, both = begin, said
+                text, end = both, max(end, until)
+                ids.append(segment)
+                if (len(both) >= target and both[-1] in T.SENTENCE_END) or lasts >= seconds:
+                    flush()
+            yield written(key_type)
         flush()
-        rows = [(pdf[key].iloc[0], f"paragraph-{i:04d}", *r) for i, r in enumerate(out, 1)]
-        return pd.DataFrame(rows, columns=[key, "paragraph_id", "start_time", "end_time", "text", "segment_ids"])
+        if out:
+            yield written(key_type)
 
-    return segments.groupBy(key).applyInPandas(fold, schema)
+    order = [F.col(c).asc_nulls_last() for c in ("start_time", "end_time", "pos")]
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))  # leaves each key's rows together and in order
+    times = [F.col(c).cast("double").alias(c) for c in ("start_time", "end_time")]
+    return segments.withColumn("place", place).select(key, *times, F.col("segment_id").cast("string"), "text", "place").mapInArrow(fold, schema)
 
 
 def readable_text(rows: DataFrame, key: str) -> DataFrame:
