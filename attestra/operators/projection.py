@@ -13,6 +13,8 @@ from attestra.operators.migration import LINE_ENDS
 MANAGED_KEYS = ("asset_class", "graph_group")
 
 _SPACE = r"[\s\x1c-\x1f]"
+#: The characters of that class, for trims: they look at the ends only.
+_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _HEADING = rf"^##{_SPACE}+.+$"
 _SECTION = rf"(?dmU)((?:{_HEADING}|\A)(?s:.*?))(?={_HEADING}|\z)"
 
@@ -23,13 +25,11 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _right_stripped(text: Column) -> Column:
-    cut = lambda t: F.regexp_replace(t, rf"(?U)(?<!{_SPACE}){_SPACE}++\z", "")  # noqa: E731  (looks back, so that a long run is read once)
-    return _once(text, lambda t: F.when(F.right(t, F.lit(1)).rlike(rf"(?U){_SPACE}"), cut(t)).otherwise(t))  # most texts have nothing to cut and aren't searched
+    return F.rtrim(text, F.lit(_BLANKS))
 
 
 def _stripped(text: Column) -> Column:
-    cut = lambda t: F.regexp_replace(t, rf"(?U)\A{_SPACE}+", "")
-    return _once(_right_stripped(text), lambda t: F.when(F.left(t, F.lit(1)).rlike(rf"(?U){_SPACE}"), cut(t)).otherwise(t))
+    return F.ltrim(_right_stripped(text), F.lit(_BLANKS))
 
 
 def _lines(text: Column) -> Column:
@@ -44,8 +44,13 @@ def nonsemantic(text: Column, marker: Column) -> Column:
     The body is cut at its level-two headings. A section whose text has the marker loses those lines and blank ends, and is set
     off by blank lines; one of which only the heading is left goes, and what follows joins what is before. Sections are
     judged each by its own text. Blank ends of the note go. A null text is null; a null or empty marker touches no section.
-    Linear in the text: sections are found in one pass and joined once.
+    Linear in the text: sections are found in one pass and joined once, and a text that is worked out is so once,
+    though it is named often below (a projection that Spark inlines would else build it anew each time).
     """
+    return _once(text, lambda t: _nonsemantic(t, marker))
+
+
+def _nonsemantic(text: Column, marker: Column) -> Column:
     shut = F.when(text.startswith("---\n") & (F.locate("\n---\n", text, 5) > 0), F.locate("\n---\n", text)).otherwise(0)
     header = lambda at: F.filter(_lines(F.substring(text, F.lit(1), at - 1)), lambda x: ~x.rlike(rf"^({'|'.join(MANAGED_KEYS)}):"))
     bare = _once(shut, lambda at: F.when(at > 0, F.concat(F.array_join(header(at), "\n"), F.substring(text, at, F.length(text)))).otherwise(text))
